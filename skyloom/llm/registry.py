@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, toxicity
+from . import packing, quality, toxicity, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op3_packing": packing.op3_packing,
+    "op9_warc": warc.op9_warc,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
