@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import table, text_or_empty
+from .runtime import bind, table, text_or_empty
 
 WORDS = 5
 #: One of so many hashes is kept.
@@ -32,24 +32,21 @@ MAX_RANGES = 10_000
 
 def sketch(text: Column) -> Column:
     """Sorted distinct hashes of the fingerprint (non-negative longs)."""
-    words = F.filter(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    limit = F.lit((1 << 63) // SCALE)
 
     def shingles(w: Column) -> Column:
         n = F.size(w)
-        many = F.transform(F.sequence(F.lit(0), n - WORDS), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WORDS)]))
-        one = F.array(F.xxhash64(F.array_join(w, " ")))
+        many = F.transform(F.sequence(F.lit(0), n - WORDS), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WORDS)]).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
+        one = F.array(F.xxhash64(F.array_join(w, " ")).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
         return F.when(n >= WORDS, many).when(n > 0, one).otherwise(F.array().cast("array<bigint>"))
 
-    # the sign bit is dropped; a fixed fraction of the remaining range is kept
-    hashes = F.transform(shingles(words), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)))
-    limit = F.lit((1 << 63) // SCALE)
+    def kept(hashes: Column) -> Column:
+        # the sign bit is dropped; a fixed fraction of the remaining range is kept
+        return bind(F.filter(hashes, lambda h: h < limit), lambda below: F.when((F.size(below) == 0) & (F.size(hashes) > 0), F.array(F.array_min(hashes))).otherwise(F.array_sort(F.array_distinct(below))))
 
-    def kept(all_hashes: Column) -> Column:
-        below = F.filter(all_hashes, lambda h: h < limit)
-        return F.when((F.size(below) == 0) & (F.size(all_hashes) > 0), F.array(F.array_min(all_hashes))).otherwise(F.array_sort(F.array_distinct(below)))
-
-    # a one-element transform binds the hashes once
-    return F.element_at(F.transform(F.array(hashes), kept), 1)
+    # white space at either end leaves an empty word; inner runs leave none
+    words = F.filter(F.split(text, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    return bind(bind(words, shingles), kept)
 
 
 def merge(a: Column, b: Column) -> Column:

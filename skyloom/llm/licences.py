@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .runtime import table, text_or_empty
+from .runtime import bind, table, text_or_empty
 
 GRAM = 3
 #: Diagonals this near are one span (words put in or left out).
@@ -63,21 +63,29 @@ def words_of(text: str) -> list[str]:
 
 def _grams(words: Column) -> Column:
     """Hash of every ``GRAM`` consecutive words, in order."""
-    n = F.size(words) - (GRAM - 1)
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(GRAM)]))
 
+    def hashes(w: Column) -> Column:
+        n = F.size(w) - (GRAM - 1)
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(GRAM)]))
 
-def _stands(words: Column, parts: list[str]):
-    """Whether the parts stand at a position of the words."""
+    return bind(words, hashes)
 
-    def here(i: Column) -> Column:
-        test = F.lit(True)
-        for j, p in enumerate(parts):
-            test = test & (F.get(words, i + j) == p)
-        return F.coalesce(test, F.lit(False))
 
-    return here
+def _places(words: Column, phrase: str) -> Column:
+    """Starts of the phrase among the words."""
+    parts = phrase.split(" ")
+
+    def found(w: Column) -> Column:
+        def here(i: Column) -> Column:
+            test = F.lit(True)
+            for j, p in enumerate(parts):
+                test = test & (F.get(w, i + j) == p)
+            return F.coalesce(test, F.lit(False))
+
+        return F.filter(F.sequence(F.lit(0), F.size(w) - 1), here)
+
+    return bind(words, found)
 
 
 def template_grams(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
@@ -107,13 +115,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     rows = docs.select("doc_id", text.alias("t")).select("doc_id", F.col("doc_id").cast("string").alias("k1"), F.xxhash64("t").alias("k2"), plain_words(F.col("t")).alias("norm"))
     rows = rows.withColumn("k1", F.coalesce("k1", F.lit("")))
     padded = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
-    words = F.split("norm", " ")
-    places = []
-    for phrase in PHRASES:
-        parts = phrase.split(" ")
-
-        found = F.filter(F.sequence(F.lit(0), F.size(words) - 1), _stands(words, parts))
-        places.append(F.when(F.contains(padded, F.lit(f" {phrase} ")), found).otherwise(F.array().cast("array<int>")))
+    places = [F.when(F.contains(padded, F.lit(f" {phrase} ")), _places(F.split("norm", " "), phrase)).otherwise(F.array().cast("array<int>")) for phrase in PHRASES]
     base = rows.select(
         "doc_id", "k1", "k2",
         F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),

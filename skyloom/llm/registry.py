@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, quality, toxicity, warc
+from . import fingerprints, licences, packing, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_sharding": sharding.op2_sharding,
     "op3_packing": packing.op3_packing,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_licences": licences.op8_licences,
     "op9_warc": warc.op9_warc,
     "op10_toxicity": toxicity.op10_toxicity,
 }

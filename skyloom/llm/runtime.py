@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,11 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, also inside nested lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def partitions_for(spark: SparkSession, floor: int = 1) -> int:
     """The session's shuffle width."""
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
