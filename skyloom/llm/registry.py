@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, jaccard, licences, packing, quality, sharding, toxicity, warc
+from . import decontamination, fingerprints, jaccard, licences, packing, quality, sharding, toxicity, warc, wrappers
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_sharding": sharding.op2_sharding,
     "op3_packing": packing.op3_packing,
+    "op4_wrappers": wrappers.op4_wrappers,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_fingerprints": fingerprints.op7_fingerprints,
