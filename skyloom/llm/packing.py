@@ -15,7 +15,9 @@ table gives an empty result.  A null doc_id is kept.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,10 +35,26 @@ END_ID = 1
 #: Documents of one packing group, on average.
 GROUP_DOCS = 4096
 TOKENIZER = "word_bpe_49k.json"
-_CACHE_WORDS = 300_000
+_ASCII = re.compile(rb"[A-Za-z]+")
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Signs (no apostrophe) between a letter or digit and white space are a token run
+#: of their own, so they may be set apart before the cache is asked.
+_TAIL = re.compile(rb"(?<=[A-Za-z0-9])([!-&(-/:;=-@\[-`{-~]+)(?=[ \t-\r]|\Z)")
+_CACHE_WORDS = 500_000
 _BLOCK = 1 << 21
 
 
+def _alphabet() -> list[str]:
+    """The byte alphabet of byte-level vocabularies: printable Latin-1 bytes are
+    themselves, the others follow from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+_ALPHABET = _alphabet()
+
+
 class Encoder:
     """Ids of whole texts through a cache of their white-space separated pieces."""
 
@@ -45,6 +63,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self._clear()
 
     def _clear(self) -> None:
@@ -63,9 +82,9 @@ class Encoder:
     def _learn(self) -> None:
         if not self.pending:
             return
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in self.pending], add_special_tokens=False)
-        sizes = np.array([len(e.ids) for e in found], dtype=np.int64)
-        flat = np.array([i for e in found for i in e.ids], dtype=np.uint32)
+        parts = [self._one(w) for w in self.pending]
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        flat = np.fromiter(itertools.chain.from_iterable(parts), dtype=np.uint32, count=int(sizes.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
         while self.n + len(sizes) > len(self.at):
@@ -76,10 +95,27 @@ class Encoder:
         self.used, self.n = self.used + len(flat), self.n + len(sizes)
         self.pending.clear()
 
+    def _one(self, word: bytes) -> list[int]:
+        """Ids of one piece.  A run of Latin-1 letters needs neither normaliser nor
+        pattern: it is lower-cased, spelt in the vocabulary's byte alphabet, and merged."""
+        if _ASCII.fullmatch(word):
+            return [t.id for t in self.model.tokenize(word.decode().lower())]
+        text = word.decode("utf-8", "replace")
+        if _LATIN.fullmatch(text):
+            return [t.id for t in self.model.tokenize("".join(map(_ALPHABET.__getitem__, text.lower().encode())))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _block(self, block: bytes) -> np.ndarray:
         if len(self.known) > _CACHE_WORDS:
             self._clear()
-        words = block.split()
+        # ASCII capitals are lower-cased by the normaliser too, unless a mark composes
+        # with the letter (marks up to U+036F) or a special token may be spelt
+        if b"<|" in block:
+            words = block.split()
+        elif b"\xcc" in block or b"\xcd" in block:
+            words = _TAIL.sub(rb" \1", block).split()
+        else:
+            words = _TAIL.sub(rb" \1", block.lower()).split()
         which = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
         self._learn()
         return self.ids[ranges(self.at[which], self.size[which])]
