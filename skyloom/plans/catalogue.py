@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, names
-from ..operators import coverage, masks, reduce, resample, tiles
+from ..operators import blocks, coverage, masks, reduce, resample, tiles
 from ..sources import catalog
 from . import views as v
 
@@ -624,3 +624,25 @@ def export_filename(spark, d):
 def safe_tokens(spark, d):
     x = (F.col("s_suppkey") * 37 % 3600).cast("double") / 16 - 112
     return v.table(spark, d, "supplier").select("s_suppkey", names.safe_token_column(x).alias("token"))
+
+
+# -- packed tiles: the same answers as the pixel reducers
+
+
+def _blocks_query(method: str, **options):
+    def run(spark, d):
+        size = spark.read.parquet(f"{d}/part.parquet").agg(F.max("p_partkey")).first()[0] // v.WIDTH + 1
+        packed = blocks.from_pixels(v.masked(spark, d), B3, 64, size, v.WIDTH)
+        done = blocks.to_pixels(blocks.mosaic(packed, 3, method, **options), B3)
+        return done.select((F.col("row") * v.WIDTH + F.col("col")).alias("px"), *B3, "n")
+
+    return run
+
+
+query(SQL["mosaic_mean"], "blocks_mean")(_blocks_query("mean"))
+query(SQL["mosaic_first"], "blocks_first")(_blocks_query("first"))
+query(SQL["mosaic_median"], "blocks_median")(_blocks_query("median"))
+query(SQL["mosaic_percentile_p90"], "blocks_percentile_p90")(_blocks_query("percentile", percentile=90.0))
+query(SQL["mosaic_medoid"], "blocks_medoid")(_blocks_query("medoid"))
+query(SQL["mosaic_max_obs_mean"], "blocks_max_obs_mean")(_blocks_query("mean", max_observations=3))
+query(SQL["mosaic_max_obs_median"], "blocks_max_obs_median")(_blocks_query("median", max_observations=3))
