@@ -1,10 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are runs of letters, digits and non-ASCII characters.  A word with a digit
-becomes a number, a capitalised word inside a sentence a name, a unit word after
+Words are runs of letters, digits and non-ASCII characters.  A word that begins
+with a digit becomes a number, a capitalised word inside a sentence a name, a unit word after
 a number a unit; other words are lower-cased.  Windows of ``WINDOW`` canonical
-words (with at least ``LITERALS`` plain ones) of texts and benchmark items are
-hash-joined.  Matching windows on one diagonal of a text and an item are taken
+words of texts and benchmark items are hash-joined; a window of fewer than
+``LITERALS`` plain words says too little, so its words are taken as they are.  Matching windows on one diagonal of a text and an item are taken
 together: they must cover ``COVER`` of the item's words, and their slots must be
 consistent (one value of the item always becomes the same value of the text).
 So a copy is found, and also the same question with other numbers, names or
@@ -14,7 +14,7 @@ Texts are read once.  A bit table of fixed size made from the item windows keeps
 other windows from being sent at all; what it lets through is joined exactly.
 
 Edge cases: null and empty texts and items match nothing; an item of fewer words
-than a window is matched as a whole (if it has at least three plain words);
+than a window is matched as a whole, as it is unless three of them are plain;
 repeated rows are one match; a null doc_id or item_id is kept; an empty table
 gives an empty result.
 """
@@ -68,8 +68,7 @@ def _canonical(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         return z, z, np.zeros(0, bool), np.zeros(0, np.int64)
     own = span_hashes(low, s, e)
     owner = owners(c, s)
-    digits = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57))))
-    number = digits[e] > digits[s]
+    number = (data[s] >= 48) & (data[s] <= 57)
     upper = np.concatenate(([0], np.cumsum((data >= 65) & (data <= 90))))
     first = (data[s] >= 65) & (data[s] <= 90)
     plain_tail = upper[e] - upper[s] == 1
@@ -85,17 +84,18 @@ def _canonical(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return hashes, own, number | name | unit, owner
 
 
-def _windows(hashes: np.ndarray, slot: np.ndarray, owner: np.ndarray, k: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of every usable window of k words."""
+def _windows(hashes: np.ndarray, own: np.ndarray, slot: np.ndarray, owner: np.ndarray, k: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of every window of k words."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
+    h, exact = np.zeros(n, np.uint64), np.full(n, 1, np.uint64)
     for i in range(k):
         h = h * np.uint64(_Q) + hashes[i : n + i]
+        exact = exact * np.uint64(_Q) + own[i : n + i]
     plain = np.concatenate(([0], np.cumsum(~slot)))
-    ok = (owner[:n] == owner[k - 1 :]) & (plain[k:] - plain[:-k] >= literals)
-    at = np.flatnonzero(ok)
+    h = np.where(plain[k:] - plain[:-k] >= literals, h, exact)
+    at = np.flatnonzero(owner[:n] == owner[k - 1 :])
     return at, mix(h[at] + np.uint64(k))
 
 
@@ -110,7 +110,7 @@ def _rows(column: pa.Array, ids: pa.Array, lengths: list[int], bits: np.ndarray
         count = np.bincount(owner, minlength=c.n)
         begin = np.concatenate(([0], np.cumsum(count)))
         for k in lengths:
-            at, h = _windows(hashes, slot, owner, k, LITERALS if k == WINDOW else SHORT_LITERALS)
+            at, h = _windows(hashes, own, slot, owner, k, LITERALS if k == WINDOW else SHORT_LITERALS)
             if whole and k < WINDOW:
                 keep = count[owner[at]] == k
                 at, h = at[keep], h[keep]
