@@ -29,7 +29,7 @@ from .runtime import crc_mod, table, text_or_empty
 from .textnp import LOWER, WORDY, chunks, code_points, owners, ranges, shingles, span_hashes, spans
 
 #: Bounds of the training sample: labelled rows, and characters of one text.
-MAX_TRAIN_ROWS = 4000
+MAX_TRAIN_ROWS = 2500
 MAX_TRAIN_CHARS = 30_000
 #: Tokens on which the chain's weights are trained (all toxic texts first).
 MAX_TRAIN_TOKENS = 400_000
@@ -139,14 +139,19 @@ def train(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
     for c, t in parts:
         for j in range(t.keys.shape[1]):
             ok = (t.keys[:, j] != 0) & keep[c.first + t.owner]
-            pair = np.unique(np.column_stack((t.owner[ok].astype(np.uint64) + np.uint64(c.first), t.keys[ok, j])), axis=0)
-            doc.append(pair[:, 0].astype(np.int64))
-            key.append(pair[:, 1])
-    doc = np.concatenate(doc) if doc else np.zeros(0, np.int64)
+            own, k = t.owner[ok], t.keys[ok, j]
+            order = np.lexsort((k, own))
+            own, k = own[order], k[order]
+            new = np.ones(len(k), dtype=bool)
+            new[1:] = (own[1:] != own[:-1]) | (k[1:] != k[:-1])
+            doc.append((own[new] + c.first).astype(np.int32))
+            key.append(k[new])
+    doc = np.concatenate(doc) if doc else np.zeros(0, np.int32)
     key = np.concatenate(key) if key else np.zeros(0, np.uint64)
     names, at = np.unique(key, return_inverse=True)
     n1 = np.bincount(at, weights=y[doc], minlength=len(names))
     n0 = np.bincount(at, minlength=len(names)) - n1
+    del doc, key, at
     big1, big0 = max(1, int((y * keep).sum())), max(1, int(((1 - y) * keep).sum()))
     p = (n1 + n0) / (big1 + big0)
     z = (n1 / big1 - n0 / big0) / np.sqrt(p * (1 - p) * (1 / big1 + 1 / big0) + 1e-12)
@@ -160,7 +165,7 @@ def train(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
         bad = np.zeros(len(start), dtype=bool)
         for j in range(t.keys.shape[1]):
             bad |= offending(t.keys[:, j]) >= 0
-        blocks.append(features)
+        blocks.append(features.astype(np.int32))
         labels.append(bad & (y[c.first + t.owner] == 1))
         starts.append(start)
     if not blocks or not sum(map(len, blocks)):
