@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, jaccard, licences, packing, quality, sharding, toxicity, warc, wrappers
+from . import decontamination, fingerprints, jaccard, licences, packing, quality, sharding, sql, toxicity, warc, wrappers
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -17,4 +17,8 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_jaccard": sql.JACCARD,
+    "op8_licences": sql.LICENCES,
+    "op9_warc": sql.WARC,
+}
