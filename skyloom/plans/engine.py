@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -45,21 +45,24 @@ def search(scenes: DataFrame, request: MosaicRequest) -> DataFrame:
     return catalog.ranked(found, request.scene_order, sort=request.scene_sort_fn)
 
 
-def mosaic(scenes: DataFrame, pixels: DataFrame, grid: DataFrame, request: MosaicRequest, *, ring: list[tuple[float, float]] | None = None, tile: int = TILE) -> DataFrame:
+def mosaic(scenes: DataFrame, pixels: DataFrame, grid: DataFrame, request: MosaicRequest, *, ring: list[tuple[float, float]] | None = None, tile: int = TILE, mask_fn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """row, col, the bands, n and valid for every pixel of ``grid`` (row, col).
 
-    ``ring``: the area in pixel coordinates, if the request has one.  Nothing
-    found is a ValueError.
+    ``ring``: the area in pixel coordinates, if the request has one.  ``mask_fn``
+    keeps the valid rows of the ranked pixels in place of the class mask; the OCM
+    mask, a neural network that is not part of this package, must be given so.
+    No scene found is a ValueError.
     """
     request = request.normalized()
     request.validate()
-    if request.cloud_mask == "OCM":
-        raise ValueError("cloud_mask='OCM' needs a neural network that is not part of this package; use 'SCL' or mask the pixels first")
+    if request.cloud_mask == "OCM" and mask_fn is None:
+        raise ValueError("cloud_mask='OCM' needs a neural network that is not part of this package; use 'SCL' or give mask_fn")
     found = search(scenes, request)
     if found.isEmpty():
         raise ValueError("No scenes found for the specified area and dates")
     bands = [n for n in names.band_labels(list(request.bands))]
-    seen = masks.scl_mask(pixels.join(found.select(F.col("scene_id").alias("scene"), "rank"), "scene"), ["scene"], "row", "col")
+    stack = pixels.join(found.select(F.col("scene_id").alias("scene"), "rank"), "scene")
+    seen = mask_fn(stack) if mask_fn is not None else masks.scl_mask(stack, ["scene"], "row", "col")
     cover = grid.select("row", "col")
     if ring is not None:
         cover = coverage.burn_touched(cover, ring)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .geotiff import Reader
+from .retry import retried
 
 
 class TilePartition(InputPartition):
@@ -35,11 +36,14 @@ class TileReader(DataSourceReader):
         return out
 
     def read(self, partition: TilePartition) -> Iterator[tuple]:
-        reader = Reader(partition.path)
-        try:
-            data = reader.window(partition.row, partition.col, partition.height, partition.width).astype("<u2")
-        finally:
-            reader.close()
+        def window():
+            reader = Reader(partition.path)
+            try:
+                return reader.window(partition.row, partition.col, partition.height, partition.width).astype("<u2")
+            finally:
+                reader.close()
+
+        data = retried(window)
         yield os.path.basename(partition.path), partition.row, partition.col, partition.height, partition.width, data.shape[0], data.tobytes()
 
 
