@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,19 +39,21 @@ def split_length(length: int, least: int) -> list[int]:
 def adaptive_tiles(mask: DataFrame, height: int, width: int, size: int, least: int, row: str = "row", col: str = "col", full: float = 0.75) -> DataFrame:
     """Tiles of a quadtree: empty ones dropped, dense or small ones kept, others split.
 
-    ``mask``: distinct pixels that are set.  Levels are bounded by the tile
-    sizes; each is one aggregation of pixels by their candidate tile.
+    ``mask``: distinct pixels that are set.  They are counted in blocks once (a few
+    rows for a raster, kept); levels, bounded by the tile sizes, add up blocks.
     """
     spark = mask.sparkSession
     open_tiles = tile_specs(spark, height, width, size)
     kept = None
-    where = F.col(row), F.col(col)
-    placed = mask.select(where[0].alias("row"), where[1].alias("col"))
+    # all tile edges are multiples of this, so blocks stand for their pixels in every level
+    unit = math.gcd(size, least)
+    br, bc = tile_of(F.col(row), F.col(col), unit)
+    blocks = mask.groupBy(br.alias("row"), bc.alias("col")).agg(F.count(F.lit(1)).alias("m")).persist()
     tr, tc = tile_of(F.col("row"), F.col("col"), size)
-    placed = placed.withColumn("r", tr).withColumn("c", tc)
+    placed = blocks.withColumn("r", tr).withColumn("c", tc)
     side = size
     while True:
-        counts = placed.groupBy("r", "c").agg(F.count(F.lit(1)).alias("set"))
+        counts = placed.groupBy("r", "c").agg(F.sum("m").alias("set"))
         level = open_tiles.join(counts, ["r", "c"])
         done = (F.col("set") / (F.col("h") * F.col("w")) >= full) | ((F.col("h") <= least) & (F.col("w") <= least))
         chosen = level.where(done).select("r", "c", "h", "w")
@@ -58,13 +62,11 @@ def adaptive_tiles(mask: DataFrame, height: int, width: int, size: int, least: i
             return kept
         rest = level.where(~done).select("r", "c", "h", "w", split_at(F.col("h"), least).alias("h0"), split_at(F.col("w"), least).alias("w0"))
         quads = [("r", "c", "h0", "w0"), ("r", "c + w0", "h0", "w - w0"), ("r + h0", "c", "h - h0", "w0"), ("r + h0", "c + w0", "h - h0", "w - w0")]
-        children = None
-        for r, c, h, w in quads:
-            part = rest.selectExpr(f"{r} as r", f"{c} as c", f"{h} as h", f"{w} as w").where("h > 0 and w > 0")
-            children = part if children is None else children.union(part)
+        parts = F.array(*[F.struct(*[F.expr(e).cast("bigint").alias(n) for e, n in zip(q, "rchw", strict=True)]) for q in quads])
+        children = rest.select(F.explode(parts).alias("q")).select("q.r", "q.c", "q.h", "q.w").where("h > 0 and w > 0")
         split = placed.join(rest, ["r", "c"])
         right_r, right_c = F.col("row") >= F.col("r") + F.col("h0"), F.col("col") >= F.col("c") + F.col("w0")
-        placed = split.select("row", "col", F.when(right_r, F.col("r") + F.col("h0")).otherwise(F.col("r")).alias("r"), F.when(right_c, F.col("c") + F.col("w0")).otherwise(F.col("c")).alias("c"))
+        placed = split.select("row", "col", "m", F.when(right_r, F.col("r") + F.col("h0")).otherwise(F.col("r")).alias("r"), F.when(right_c, F.col("c") + F.col("w0")).otherwise(F.col("c")).alias("c"))
         open_tiles = children
         side = max(x for n in {side} for x in split_length(n, least))
 

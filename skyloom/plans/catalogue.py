@@ -154,9 +154,9 @@ def running_observations(spark, d):
     return v.masked(spark, d).select("px", "scene", "rank", F.count(F.lit(1)).over(before).alias("seen"))
 
 
-@query(f"WITH {v.MASKED}, {v.GRID} SELECT g.px, CAST(coalesce(b1, 0) AS BIGINT) AS b1, CAST(coalesce(b2, 0) AS BIGINT) AS b2, CAST(coalesce(b3, 0) AS BIGINT) AS b3, coalesce(n, 0) AS n, CAST(CASE WHEN coalesce(n, 0) > 0 THEN 255 ELSE 0 END AS BIGINT) AS valid FROM grid g LEFT JOIN (SELECT px, sum(b1) // count(*) AS b1, sum(b2) // count(*) AS b2, sum(b3) // count(*) AS b3, count(*) AS n FROM masked WHERE px % 10 <> 3 GROUP BY px) m USING (px)")
+@query(f"WITH {v.MASKED}, {v.GRID} SELECT g.px, CAST(coalesce(b1, 0) AS BIGINT) AS b1, CAST(coalesce(b2, 0) AS BIGINT) AS b2, CAST(coalesce(b3, 0) AS BIGINT) AS b3, coalesce(n, 0) AS n, CAST(CASE WHEN coalesce(n, 0) > 0 THEN 255 ELSE 0 END AS BIGINT) AS valid FROM grid g LEFT JOIN (SELECT px, sum(b1) // count(*) AS b1, sum(b2) // count(*) AS b2, sum(b3) // count(*) AS b3, count(*) AS n FROM masked WHERE scl = 4 GROUP BY px) m USING (px)")
 def output_valid_mask(spark, d):
-    seen = reduce.mosaic(v.masked(spark, d).where("px % 10 <> 3"), PX, B3, "mean")
+    seen = reduce.mosaic(v.masked(spark, d).where("scl = 4"), PX, B3, "mean")
     return reduce.finish(seen, v.grid(spark, d), PX, B3)
 
 
@@ -318,9 +318,9 @@ def scl_clear_valid(spark, d):
     return masks.scl_mask(v.observations(spark, d), ["scene"], "row", "col").select("scene", "row", "col")
 
 
-@query(f"WITH {v.OBS}, {_DIAMOND} SELECT DISTINCT row + dr AS row, col + dc AS col FROM obs, diamond WHERE scl = 0 AND px % 97 = 0")
+@query(f"WITH {v.OBS}, {_DIAMOND} SELECT DISTINCT row + dr AS row, col + dc AS col FROM obs, diamond WHERE scl = 0")
 def dilate_nodata(spark, d):
-    return masks.grow(v.observations(spark, d).where("scl = 0 and px % 97 = 0"), [], "row", "col")
+    return masks.grow(v.observations(spark, d).where("scl = 0"), [], "row", "col")
 
 
 @query(f"WITH {v.OBS}, {_DIAMOND}, grown AS (SELECT DISTINCT scene, row + dr AS row, col + dc AS col FROM obs, diamond WHERE b2 + b3 = 0) SELECT scene, row, col FROM obs o WHERE NOT EXISTS (SELECT 1 FROM grown g WHERE g.scene = o.scene AND g.row = o.row AND g.col = o.col)")
@@ -368,17 +368,17 @@ def frequent_coverage(spark, d):
     return coverage.frequent(coverage.overlap_count(v.grid(spark, d), v.scenes(spark, d).select("x0", "y0", "x1", "y1")), 0.5, 1)
 
 
-@query(f"WITH {v.MASKED}, {v.GRID}, covered AS (SELECT px FROM grid WHERE (row + col) % 3 <> 0) SELECT px, CAST(sum(b1) // count(*) AS BIGINT) AS b1, count(*) AS n FROM masked WHERE px IN (SELECT px FROM covered) GROUP BY px")
+@query(f"WITH {v.MASKED}, {v.GRID}, covered AS (SELECT px FROM grid WHERE size > 15) SELECT px, CAST(sum(b1) // count(*) AS BIGINT) AS b1, count(*) AS n FROM masked WHERE px IN (SELECT px FROM covered) GROUP BY px")
 def coverage_semi(spark, d):
-    covered = v.grid(spark, d).where("(row + col) % 3 <> 0").select("px")
+    covered = v.grid(spark, d).where("size > 15").select("px")
     return reduce.mosaic(v.masked(spark, d).join(covered, "px", "left_semi"), PX, ["b1"], "mean")
 
 
-@query(f"WITH {v.MASKED}, {v.GRID}, m AS (SELECT px, CAST(sum(b1) // count(*) AS BIGINT) AS b1, count(*) AS n FROM masked GROUP BY px) SELECT g.px, CASE WHEN (row + col) % 3 <> 0 THEN coalesce(b1, 0) ELSE 0 END AS b1, CASE WHEN (row + col) % 3 <> 0 THEN coalesce(n, 0) ELSE 0 END AS n FROM grid g LEFT JOIN m USING (px)")
+@query(f"WITH {v.MASKED}, {v.GRID}, m AS (SELECT px, CAST(sum(b1) // count(*) AS BIGINT) AS b1, count(*) AS n FROM masked GROUP BY px) SELECT g.px, CASE WHEN size > 15 THEN coalesce(b1, 0) ELSE 0 END AS b1, CASE WHEN size > 15 THEN coalesce(n, 0) ELSE 0 END AS n FROM grid g LEFT JOIN m USING (px)")
 def output_coverage(spark, d):
     filled = reduce.mosaic(v.masked(spark, d), PX, ["b1"], "mean")
     done = v.grid(spark, d).join(filled, "px", "left")
-    inside = (F.col("row") + F.col("col")) % 3 != 0
+    inside = F.col("size") > 15
     return done.select("px", *[F.when(inside, F.coalesce(c, F.lit(0))).otherwise(0).cast("bigint").alias(c) for c in ("b1", "n")])
 
 
@@ -436,7 +436,7 @@ def split_aligned(spark, d):
 
 def _adaptive_sql() -> str:
     half = lambda x: f"CASE WHEN {x} <= 8 THEN {x} ELSE least(greatest(CAST(round_even({x} / CAST(2 AS DOUBLE) / CAST(8 AS DOUBLE), 0) AS BIGINT) * 8, 8), {x}) END"
-    out = [f"{v.MASKED}, px AS (SELECT DISTINCT row, col FROM masked WHERE (row // 5 + col // 7) % 3 = 0)", "t0 AS (SELECT r * 32 AS r, c * 32 AS c, CAST(least(32, 400 - r * 32) AS BIGINT) AS h, CAST(least(32, 50 - c * 32) AS BIGINT) AS w FROM range(0, 13) a(r), range(0, 2) b(c))"]
+    out = [f"{v.MASKED}, {v.GRID}, px AS (SELECT DISTINCT row, col FROM masked WHERE scl = 4 AND b2 >= 700)", "t0 AS (SELECT r, c, least(32, (SELECT max(row) + 1 FROM grid) - r) AS h, least(32, (SELECT max(col) + 1 FROM grid) - c) AS w FROM (SELECT DISTINCT row - row % 32 AS r, col - col % 32 AS c FROM grid))"]
     for i in range(3):
         out.append(f"c{i} AS (SELECT t.*, count(*) AS n FROM t{i} t JOIN px ON px.row >= t.r AND px.row < t.r + t.h AND px.col >= t.c AND px.col < t.c + t.w GROUP BY ALL)")
         out.append(f"k{i} AS (SELECT r, c, h, w FROM c{i} WHERE n / (h * w) >= 0.75 OR (h <= 8 AND w <= 8))")
@@ -447,8 +447,9 @@ def _adaptive_sql() -> str:
 
 @query(_adaptive_sql())
 def adaptive_tiles(spark, d):
-    mask = v.masked(spark, d).where("(row div 5 + col div 7) % 3 = 0").select("row", "col").distinct()
-    return tiles.adaptive_tiles(mask, 400, 50, 32, 8)
+    mask = v.masked(spark, d).where("scl = 4 and b2 >= 700").select("row", "col").distinct()
+    most = v.grid(spark, d).agg(F.max("row"), F.max("col")).first()
+    return tiles.adaptive_tiles(mask, most[0] + 1, most[1] + 1, 32, 8)
 
 
 @query(f"WITH {v.MASKED} SELECT row - row % 8 AS r, col - col % 8 AS c, CAST(count(DISTINCT px) AS DOUBLE) / CAST(64 AS DOUBLE) AS share FROM masked GROUP BY ALL")

@@ -87,7 +87,7 @@ masked AS (
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pixels (parts)."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("px"), F.expr(f"p_partkey div {WIDTH}").alias("row"), (F.col("p_partkey") % WIDTH).alias("col"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("px"), F.expr(f"p_partkey div {WIDTH}").alias("row"), (F.col("p_partkey") % WIDTH).alias("col"), F.col("p_size").alias("size"))
 
 
-GRID = f"grid AS (SELECT p_partkey AS px, p_partkey // {WIDTH} AS row, p_partkey % {WIDTH} AS col FROM part)"
+GRID = f"grid AS (SELECT p_partkey AS px, p_partkey // {WIDTH} AS row, p_partkey % {WIDTH} AS col, p_size AS size FROM part)"
