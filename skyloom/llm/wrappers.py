@@ -58,6 +58,7 @@ NEGATIVE = set(
     "sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments reply replies respond disqus discussion share sharing social "
     "related recommended recommendations teaser teasers newsletter subscribe subscription signup login search pagination pager toolbar widget hidden".split()
 )
+POSITIVE = set("content article post entry story".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _UNLESS = {"with", "no", "has", "without"}
 
@@ -90,7 +91,7 @@ def slots(page: str) -> list[tuple[str, str, str]]:
     """(path, role, text) of the text slots in page order.
 
     role: ``x`` not content by its elements, ``a`` inside an article, ``m`` inside
-    a main element, ``o`` other.  Texts are decoded, white space is one space.
+    a main element, ``c`` inside one named as content, ``o`` other.  Texts are decoded, white space is one space.
     """
     out: list[tuple[str, str, str]] = []
     stack: list[tuple[str, str, str]] = []  # tag, label, role inside it
@@ -145,8 +146,10 @@ def slots(page: str) -> list[tuple[str, str, str]]:
             role = "x"
         elif role != "x" and tag == "article":
             role = "a"
-        elif role == "o" and tag == "main":
+        elif role in ("o", "c") and tag == "main":
             role = "m"
+        elif role == "o" and tag not in ("html", "body") and POSITIVE & set(re.split(r"[-_:.]+", label)[1:]):
+            role = "c"
         if (m[3] or "").endswith("/") and tag not in ("p", "div", "a", "span"):
             continue
         if tag in RAW:
@@ -228,7 +231,7 @@ def _streams(pages: DataFrame) -> DataFrame:
                 seen[host, json.dumps(collapse([f"{r}:{p}" for p, r, _ in found]), separators=(",", ":"), ensure_ascii=False)] += 1
                 own: dict[str, int] = {}
                 for p, r, t in found:
-                    if r == "o":
+                    if r in ("o", "c"):
                         own[p] = zlib.crc32(t.encode("utf-8", "replace"), own.get(p, 0))
                 for p, h in own.items():
                     v = texts.setdefault((host, p), [0, h, h])
@@ -261,14 +264,14 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 def content_slots(wrapper: str, template: list[str]) -> frozenset[str]:
     """Slot names (role:path) of a wrapper that are content."""
-    fixed = {f"o:{p}" for p in template if not re.search(r"(?:^|/)(?:p|h[1-6])[^/]*$", p)}
+    fixed = {f"{r}:{p}" for r in "oc" for p in template if not re.search(r"(?:^|/)(?:p|h[1-6])[^/]*$", p)}
     return frozenset(s for unit, _, _ in json.loads(wrapper) for s in unit if s[0] != "x" and s not in fixed)
 
 
 def page_text(page: str, content: frozenset[str]) -> str:
-    """The main text: slots of the article, else of main, else the other content slots."""
+    """The main text: slots of the article, else of main, of an element named as content, or the rest."""
     found = [(r, t) for p, r, t in slots(page) if f"{r}:{p}" in content]
-    for role in ("a", "m", "o"):
+    for role in ("a", "m", "c", "o"):
         if texts := [t for r, t in found if r == role]:
             return " ".join(texts)
     return ""
