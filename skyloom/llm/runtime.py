@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` of the session; where the session names none (tests
-    on a local master) a folder under the temporary directory is set.
+    ``spark.checkpoint.dir`` of the session; where the session names none and the
+    master is local (tests) a folder under the temporary directory is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "skyloom-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
