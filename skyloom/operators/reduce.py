@@ -52,8 +52,9 @@ def mean(obs: DataFrame, pixel: Sequence[str], bands: Sequence[str]) -> DataFram
 
 def first(obs: DataFrame, pixel: Sequence[str], bands: Sequence[str], rank: str = "rank") -> DataFrame:
     """All bands of the valid observation of lowest rank."""
-    best = obs.groupBy(*pixel).agg(F.min_by(F.struct(*bands), F.col(rank)).alias("_o"))
-    return best.select(*pixel, *[F.col(f"_o.{b}").alias(b) for b in bands], F.lit(1).cast("bigint").alias("n"))
+    # by band, so that the buffers are plain longs and the aggregation hashes; a rank is unique in its pixel
+    best = obs.groupBy(*pixel).agg(*[F.min_by(b, rank).alias(b) for b in bands])
+    return best.select(*pixel, *bands, F.lit(1).cast("bigint").alias("n"))
 
 
 def _percentile_of(values: Column, percentile: float) -> Column:
