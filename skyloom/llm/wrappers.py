@@ -5,10 +5,12 @@ of one host are aligned one after the other: neighbouring repetitions become
 repeated groups, what only some pages have becomes optional, and texts become
 slots.  The merge is associative enough to run on partial groups first, so
 distinct streams are counted before the shuffle and a large host is merged in
-slices.  The wrapper of a host says which slots are content: those inside its
-article (or main) element and outside menus, headers, footers, asides, adverts,
-notices, forms and comments; a page without such an element falls back to all
-slots outside of these whose text changes from page to page.
+slices.  Every page is then matched against the wrapper of its host: a unit whose
+texts are the same on all pages that have it is template, a unit whose texts vary,
+repeated or not, is content.  Menus, headers, footers, asides, adverts, notices,
+forms and comments are told by their elements and never content; of what is left
+a page gives the slots of its article, else of main, of an element named as
+content, or all.
 
 Edge cases: a null or empty html gives an empty text; a null url has the empty
 host; unclosed and stray tags are tolerated; repeated rows are extracted each for
@@ -22,7 +24,7 @@ import json
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -37,7 +39,7 @@ SLICES = 16
 LONGEST_UNIT = 8
 #: Wrappers of at most so many bytes in all are broadcast, else joined.
 BROADCAST_BYTES = 16 << 20
-#: A text is template text if so many pages show it and never another.
+#: A unit is template if so many pages show its text and never another.
 CONSTANT_PAGES = 5
 
 # Elements by role, and words of class, id and role that mark what is not content.
@@ -166,9 +168,10 @@ def slots(page: str) -> list[tuple[str, str, str]]:
 # -- union-free expressions: a list of [unit, least, repeats], unit a list of slot names
 
 
-def collapse(stream: list[str]) -> list[list]:
-    """The stream with neighbouring repetitions as repeated groups, shortest units first."""
-    items = [[[s], 1, False] for s in stream]
+def placed(stream: list[str]) -> list[list]:
+    """The stream with neighbouring repetitions as repeated groups, shortest units first;
+    each with the places in the stream of every name of its unit."""
+    items = [[[s], 1, False, [[i]]] for i, s in enumerate(stream)]
     for width in range(1, LONGEST_UNIT + 1):
         out, i = [], 0
         keys = [(tuple(x[0]), x[2]) for x in items]
@@ -178,7 +181,8 @@ def collapse(stream: list[str]) -> list[list]:
                 n += 1
             if n > 1:
                 unit = [s for x in items[i : i + width] for s in x[0]]
-                out.append([unit, 1, True])
+                again = [[at for x in items[k : k + width] for at in x[3]] for k in range(i, i + n * width, width)]
+                out.append([unit, 1, True, [[a for one in at for a in one] for at in zip(*again, strict=True)]])
                 i += n * width
             else:
                 out.append(items[i])
@@ -187,6 +191,11 @@ def collapse(stream: list[str]) -> list[list]:
     return items
 
 
+def collapse(stream: list[str]) -> list[list]:
+    """The expression of one stream: [unit, least, repeats] of its groups."""
+    return [x[:3] for x in placed(stream)]
+
+
 def align(a: list[list], b: list[list]) -> list[list]:
     """One expression for both: common units keep their place, others become optional."""
     x, y = ["\x00".join(u[0]) for u in a], ["\x00".join(u[0]) for u in b]
@@ -205,6 +214,64 @@ def align(a: list[list], b: list[list]) -> list[list]:
     return merged
 
 
+def _places(keys: list[str], wrapper: list[list], names: list[str], strict: bool) -> list[int] | None:
+    """Unit of the wrapper for every group of a page, in order; none left out that all pages have, if ``strict``."""
+    needed, until = [len(names)] * (len(names) + 1), len(names)
+    where: dict[str, list[int]] = {}
+    for j in range(len(names) - 1, -1, -1):
+        until = j if strict and wrapper[j][1] else until
+        needed[j] = until
+    for j, name in enumerate(names):
+        where.setdefault(name, []).append(j)
+    state, steps = [-1], []
+    for key in keys:
+        step, i, before = {}, 0, None
+        for j in where.get(key, ()):
+            while i < len(state) and state[i] < j:
+                before, i = state[i], i + 1
+            if i < len(state) and state[i] == j and wrapper[j][2]:
+                step[j] = j
+            elif before is not None and needed[before + 1] >= j:
+                step[j] = before
+        if not step:
+            return None
+        steps.append(step)
+        state = sorted(step)
+    at = next((j for j in state if needed[j + 1] == len(names)), None)
+    if at is None:
+        return None
+    out = []
+    for step in reversed(steps):
+        out.append(at)
+        at = step[at]
+    return out[::-1]
+
+
+class Matcher:
+    """Matches pages against one wrapper: what stands where in it."""
+
+    def __init__(self, wrapper: str) -> None:
+        self.wrapper = json.loads(wrapper)
+        self.names = ["\x00".join(u[0]) for u in self.wrapper]
+        self.known: dict[tuple[str, ...], list[str | None]] = {}
+
+    def __call__(self, stream: tuple[str, ...]) -> list[str | None]:
+        """unit:name of the wrapper for every slot of a page (none: a page the wrapper does not hold)."""
+        if stream not in self.known:
+            if len(self.known) > 1024:
+                self.known.clear()
+            groups = placed(list(stream))
+            keys = ["\x00".join(g[0]) for g in groups]
+            units = _places(keys, self.wrapper, self.names, True) or _places(keys, self.wrapper, self.names, False) or []
+            out: list[str | None] = [None] * len(stream)
+            for unit, group in zip(units, groups, strict=False):
+                for k, at in enumerate(group[3]):
+                    for i in at:
+                        out[i] = f"{unit}:{k}"
+            self.known[stream] = out
+        return self.known[stream]
+
+
 def expression(wrapper: list[list]) -> str:
     """The wrapper as a regular expression over slot names."""
     sign = {(1, False): "", (1, True): "+", (0, False): "?", (0, True): "*"}
@@ -220,59 +287,103 @@ def merge_streams(streams: list[str]) -> str:
 
 
 def _streams(pages: DataFrame) -> DataFrame:
-    """host, kind, name, pages, lo, hi: counted streams (kind s) and slot texts (kind t), in partial sums."""
+    """host, name, pages: streams in partial counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, ...], str] = {}
         for b in batches:
             seen: Counter = Counter()
-            texts: dict[tuple[str, str], list[int]] = {}
             for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                host, found = host_of(url), slots(page)
-                seen[host, json.dumps(collapse([f"{r}:{p}" for p, r, _ in found]), separators=(",", ":"), ensure_ascii=False)] += 1
+                stream = tuple(f"{r}:{p}" for p, r, _ in slots(page))
+                if stream not in groups:
+                    if len(groups) > 1024:
+                        groups.clear()
+                    groups[stream] = json.dumps(collapse(list(stream)), separators=(",", ":"), ensure_ascii=False)
+                seen[host_of(url), groups[stream]] += 1
+            rows = [(*k, n) for k, n in seen.items()]
+            kinds = (pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], ["host", "name", "pages"])
+
+    source = pages.select(text_or_empty(F.col("url")).alias("url"), text_or_empty(F.col("html")).alias("html"))
+    return source.mapInArrow(run, "host string, name string, pages bigint")
+
+
+def _with_wrappers(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """``rows`` (url, html and others) with host and the columns of ``wrappers``, null where it has no such host."""
+    size = wrappers.agg(F.sum(sum((F.length(F.array_join(c, " ") if c == "template" else c) for c in wrappers.columns if c != "host"), F.lit(0))).alias("b")).first()["b"] or 0
+    rows = rows.withColumn("host", F.lower(F.regexp_extract(text_or_empty(F.col("url")), _HOST.pattern, 1)))
+    if size * 4 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(wrappers), "host", "left")
+    salted = rows.withColumn("slice", F.pmod(F.xxhash64(*(c for c in rows.columns if c != "host")), F.lit(SLICES)))
+    return salted.join(wrappers.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))), ["host", "slice"], "left")
+
+
+def _matchers() -> Callable[[str], Matcher]:
+    known: dict[str, Matcher] = {}
+
+    def get(wrapper: str) -> Matcher:
+        if wrapper not in known:
+            if len(known) > 256:
+                known.clear()
+            known[wrapper] = Matcher(wrapper)
+        return known[wrapper]
+
+    return get
+
+
+def _texts(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host, slot, pages, lo, hi: the texts of every slot of the wrappers, in partial sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matchers()
+        for b in batches:
+            texts: dict[tuple[str, str], list[int]] = {}
+            wrapper = b.column("wrapper").dictionary_encode()
+            words = wrapper.dictionary.to_pylist()
+            for host, page, code in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), wrapper.indices.to_pylist(), strict=True):
+                if not page or code is None:
+                    continue
+                found = slots(page)
                 own: dict[str, int] = {}
-                for p, r, t in found:
-                    if r in ("o", "c"):
-                        own[p] = zlib.crc32(t.encode("utf-8", "replace"), own.get(p, 0))
-                for p, h in own.items():
-                    v = texts.setdefault((host, p), [0, h, h])
+                for slot, (_, r, t) in zip(matcher(words[code])(tuple(f"{r}:{p}" for p, r, _ in found)), found, strict=True):
+                    if slot is not None and r != "x":
+                        own[slot] = zlib.crc32(t.encode("utf-8", "replace") + b"\n", own.get(slot, 0))
+                for slot, h in own.items():
+                    v = texts.setdefault((host, slot), [0, h, h])
                     v[0], v[1], v[2] = v[0] + 1, min(v[1], h), max(v[2], h)
-            rows = [(h, "s", s, n, 0, 0) for (h, s), n in seen.items()] + [(h, "t", p, *v) for (h, p), v in texts.items()]
-            kinds = [pa.string()] * 3 + [pa.int64()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], ["host", "kind", "name", "pages", "lo", "hi"])
+            rows = [(*k, *v) for k, v in texts.items()]
+            kinds = [pa.string()] * 2 + [pa.int64()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], ["host", "slot", "pages", "lo", "hi"])
 
-    source = pages.select(text_or_empty(F.col("url")).alias("url"), text_or_empty(F.col("html")).alias("html"))
-    return source.mapInArrow(run, "host string, kind string, name string, pages bigint, lo bigint, hi bigint")
+    rows = _with_wrappers(pages.select("page_id", "url", text_or_empty(F.col("html")).alias("html")), wrappers.select("host", "wrapper"))
+    return rows.select("host", "html", "wrapper").mapInArrow(run, "host string, slot string, pages bigint, lo bigint, hi bigint")
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, pages, wrapper (JSON units), template (slot paths of fixed text) of every host."""
-    counted = stored(_streams(pages).groupBy("host", "kind", "name").agg(F.sum("pages").alias("pages"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "wrapper-streams")
-    streams = counted.where("kind = 's'")
+    """host, pages, wrapper (JSON units), template (unit:name of fixed text) of every host."""
+    streams = _streams(pages).groupBy("host", "name").agg(F.sum("pages").alias("pages"))
 
     def merge(group: pa.Table) -> pa.Table:
         return pa.table({"host": group["host"][:1], "name": pa.array([merge_streams(group["name"].to_pylist())]), "pages": pa.array([sum(group["pages"].to_pylist())], pa.int64())})
 
     sliced = streams.withColumn("slice", F.pmod(F.xxhash64("name"), F.lit(SLICES))).select("host", "slice", "name", "pages")
     partial = sliced.groupBy("host", "slice").applyInArrow(merge, "host string, name string, pages bigint")
-    whole = partial.groupBy("host").applyInArrow(merge, "host string, name string, pages bigint")
-    fixed = counted.where(f"kind = 't' and lo = hi and pages >= {CONSTANT_PAGES}").groupBy("host").agg(F.sort_array(F.collect_set("name")).alias("template"))
+    whole = stored(partial.groupBy("host").applyInArrow(merge, "host string, name string, pages bigint").select("host", "pages", F.col("name").alias("wrapper")), "wrapper-streams")
+    texts = stored(_texts(pages, whole).groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "wrapper-texts")
+    fixed = texts.where(f"lo = hi and pages >= {CONSTANT_PAGES}").groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("template"))
     # a host that shows one page over and over has no template text to tell
-    varied = counted.where("kind = 't' and lo != hi").select("host").distinct()
+    varied = texts.where("lo != hi").select("host").distinct()
     fixed = fixed.join(varied, "host", "left_semi")
-    return whole.join(fixed, "host", "left").select("host", "pages", F.col("name").alias("wrapper"), F.coalesce("template", F.array().cast("array<string>")).alias("template"))
-
+    return whole.join(fixed, "host", "left").select("host", "pages", "wrapper", F.coalesce("template", F.array().cast("array<string>")).alias("template"))
 
-def content_slots(wrapper: str, template: list[str]) -> frozenset[str]:
-    """Slot names (role:path) of a wrapper that are content."""
-    fixed = {f"{r}:{p}" for r in "oc" for p in template if not re.search(r"(?:^|/)(?:p|h[1-6])[^/]*$", p)}
-    return frozenset(s for unit, _, _ in json.loads(wrapper) for s in unit if s[0] != "x" and s not in fixed)
 
-
-def page_text(page: str, content: frozenset[str]) -> str:
-    """The main text: slots of the article, else of main, of an element named as content, or the rest."""
-    found = [(r, t) for p, r, t in slots(page) if f"{r}:{p}" in content]
+def page_text(page: str, match: Matcher | None, template: frozenset[str]) -> str:
+    """The main text: what is no template of the article, else of main, of an element named as content, or the rest."""
+    found = slots(page)
+    units = match(tuple(f"{r}:{p}" for p, r, _ in found)) if match and template else [None] * len(found)
+    kept = [(r, t) for (_, r, t), unit in zip(found, units, strict=True) if unit is None or unit not in template]
     for role in ("a", "m", "c", "o"):
-        if texts := [t for r, t in found if r == role]:
+        if texts := [t for r, t in kept if r == role]:
             return " ".join(texts)
     return ""
 
@@ -280,35 +391,26 @@ def page_text(page: str, content: frozenset[str]) -> str:
 def extract(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
 
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.length(F.array_join("template", " "))).alias("b")).first()["b"] or 0
-    host = F.lower(F.regexp_extract(text_or_empty(F.col("url")), _HOST.pattern, 1))
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), text_or_empty(F.col("html")).alias("html"), host.alias("host"))
-    if size * 4 <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(wrappers.select("host", "wrapper", "template")), "host", "left")
-    else:
-        salted = rows.withColumn("slice", F.pmod(F.xxhash64("page_id", "html"), F.lit(SLICES)))
-        joined = salted.join(wrappers.select("host", "wrapper", "template", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice")), ["host", "slice"], "left")
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), text_or_empty(F.col("html")).alias("html"))
+    joined = _with_wrappers(rows, wrappers.select("host", "wrapper", "template"))
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset[str]] = {}
+        matcher = _matchers()
         for b in batches:
-            texts = []
+            texts, fixed = [], {}
             wrapper, template = b.column("wrapper").dictionary_encode(), b.column("template")
-            words = wrapper.dictionary
-            for row, (page, code) in enumerate(zip(b.column("html").to_pylist(), wrapper.indices.to_pylist(), strict=True)):
-                if not page or code is None:
+            words = wrapper.dictionary.to_pylist()
+            for row, (page, host, code) in enumerate(zip(b.column("html").to_pylist(), b.column("host").to_pylist(), wrapper.indices.to_pylist(), strict=True)):
+                if not page:
                     texts.append("")
                     continue
-                name = words[code].as_py()
-                if name not in known:
-                    if len(known) > 256:
-                        known.clear()
-                    known[name] = content_slots(name, template[row].as_py() or [])
-                texts.append(page_text(page, known[name]))
+                if host not in fixed:
+                    fixed[host] = frozenset(template[row].as_py() or [])
+                texts.append(page_text(page, None if code is None else matcher(words[code]), fixed[host]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "wrapper", "template").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return joined.select("page_id", "url", "html", "host", "wrapper", "template").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
 
 
 def op4_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,6 +216,23 @@ def test_alignment():
     assert wrappers.expression(wrappers.collapse(list("abab"))) == "(<a># <b>#)+"
 
 
+def test_pages_are_matched_against_the_wrapper(spark):
+    rows = [(i, "http://a.example/", f"<body><div>Motto</div><article><div>Share it</div><h2>Summary</h2><h1>Head {i}</h1>{'<ul><li>x</li></ul>' * (i % 2)}<p>Body {i}</p><p>more</p></article></body>") for i in range(8)]
+    rows += [(i, "http://b.example/", f"<body><div>Motto</div><h1>Head {i}</h1><div>Body {i}</div></body>") for i in range(8, 16)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(pages, wrappers.infer_wrappers(pages)).collect()}
+    assert got == {i: f"Head {i}{' x' * (i % 2)} Body {i} more" if i < 8 else f"Head {i} Body {i}" for i in range(16)}
+
+
+def test_places_in_a_wrapper():
+    match = wrappers.Matcher(wrappers.merge_streams([wrappers.json.dumps(wrappers.collapse(list(s))) for s in ("abbc", "axbc", "abxyxyc")]))
+    for s in ("abbc", "axbc", "abxyxyc"):
+        at = match(tuple(s))
+        assert all(match.wrapper[int(p.split(":")[0])][0][int(p.split(":")[1])] == c for p, c in zip(at, s, strict=True))
+        assert at[0] == "0:0" and at[-1] == f"{len(match.wrapper) - 1}:0"
+    assert match(tuple("zz")) == [None, None]
+
+
 def test_archives_round_trip(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FRAME_BYTES", 2000)
     rng = random.Random(6)
