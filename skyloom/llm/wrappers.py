@@ -19,6 +19,7 @@ itself; an empty table gives an empty result; whole pages are read.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -39,7 +40,7 @@ SLICES = 16
 LONGEST_UNIT = 8
 #: Wrappers of at most so many bytes in all are broadcast, else joined.
 BROADCAST_BYTES = 16 << 20
-#: A unit is template if so many pages show its text and never another.
+#: A unit is template if so many pages that differ in their other texts show its text and never another.
 CONSTANT_PAGES = 5
 
 # Elements by role, and words of class, id and role that mark what is not content.
@@ -332,12 +333,17 @@ def _matchers() -> Callable[[str], Matcher]:
 
 
 def _texts(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """host, slot, pages, lo, hi: the texts of every slot of the wrappers, in partial sums."""
+    """host, slot, page, lo, hi: the texts of every slot of the wrappers and different pages that have it.
+
+    ``page`` is a hash of all texts but those that are not content by their elements,
+    so copies of a page are one; of each slot a batch names its ``CONSTANT_PAGES``
+    smallest, which tells whether there are so many.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matchers()
         for b in batches:
-            texts: dict[tuple[str, str], list[int]] = {}
+            texts: dict[tuple[str, str], list] = {}
             wrapper = b.column("wrapper").dictionary_encode()
             words = wrapper.dictionary.to_pylist()
             for host, page, code in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), wrapper.indices.to_pylist(), strict=True):
@@ -348,15 +354,20 @@ def _texts(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
                 for slot, (_, r, t) in zip(matcher(words[code])(tuple(f"{r}:{p}" for p, r, _ in found)), found, strict=True):
                     if slot is not None and r != "x":
                         own[slot] = zlib.crc32(t.encode("utf-8", "replace") + b"\n", own.get(slot, 0))
+                whole = "\x00".join(x for p, r, t in found if r != "x" for x in (r, p, t))
+                key = int.from_bytes(hashlib.blake2b(whole.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
                 for slot, h in own.items():
-                    v = texts.setdefault((host, slot), [0, h, h])
-                    v[0], v[1], v[2] = v[0] + 1, min(v[1], h), max(v[2], h)
-            rows = [(*k, *v) for k, v in texts.items()]
+                    v = texts.setdefault((host, slot), [set(), h, h])
+                    v[0].add(key)
+                    if len(v[0]) > CONSTANT_PAGES:
+                        v[0].remove(max(v[0]))
+                    v[1], v[2] = min(v[1], h), max(v[2], h)
+            rows = [(*k, x, v[1], v[2]) for k, v in texts.items() for x in sorted(v[0])]
             kinds = [pa.string()] * 2 + [pa.int64()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], ["host", "slot", "pages", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], ["host", "slot", "page", "lo", "hi"])
 
     rows = _with_wrappers(pages.select("page_id", "url", text_or_empty(F.col("html")).alias("html")), wrappers.select("host", "wrapper"))
-    return rows.select("host", "html", "wrapper").mapInArrow(run, "host string, slot string, pages bigint, lo bigint, hi bigint")
+    return rows.select("host", "html", "wrapper").mapInArrow(run, "host string, slot string, page bigint, lo bigint, hi bigint")
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
@@ -369,11 +380,10 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     sliced = streams.withColumn("slice", F.pmod(F.xxhash64("name"), F.lit(SLICES))).select("host", "slice", "name", "pages")
     partial = sliced.groupBy("host", "slice").applyInArrow(merge, "host string, name string, pages bigint")
     whole = stored(partial.groupBy("host").applyInArrow(merge, "host string, name string, pages bigint").select("host", "pages", F.col("name").alias("wrapper")), "wrapper-streams")
-    texts = stored(_texts(pages, whole).groupBy("host", "slot").agg(F.sum("pages").alias("pages"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "wrapper-texts")
+    seen = _texts(pages, whole).groupBy("host", "slot", "page").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    texts = seen.groupBy("host", "slot").agg(F.count(F.lit(1)).alias("pages"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # pages that differ although this text is the same on all of them differ in their other texts
     fixed = texts.where(f"lo = hi and pages >= {CONSTANT_PAGES}").groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("template"))
-    # a host that shows one page over and over has no template text to tell
-    varied = texts.where("lo != hi").select("host").distinct()
-    fixed = fixed.join(varied, "host", "left_semi")
     return whole.join(fixed, "host", "left").select("host", "pages", "wrapper", F.coalesce("template", F.array().cast("array<string>")).alias("template"))
 
 

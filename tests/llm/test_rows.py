@@ -224,6 +224,16 @@ def test_pages_are_matched_against_the_wrapper(spark):
     assert got == {i: f"Head {i}{' x' * (i % 2)} Body {i} more" if i < 8 else f"Head {i} Body {i}" for i in range(16)}
 
 
+@pytest.mark.parametrize("copies", [4, 5, 9])
+def test_copies_of_a_page_are_one_page(spark, copies):
+    one = "<body><nav>{}</nav><table><tr><td>Own text of this page</td></tr></table></body>"
+    rows = [(i, f"http://c.example/{i}", one.format(i)) for i in range(copies)]
+    rows += [(100 + i, f"http://c.example/p{i}", f"<body><div>Motto</div><p>Body {i}</p></body>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(pages, wrappers.infer_wrappers(pages)).collect()}
+    assert got == {i: "Own text of this page" for i in range(copies)} | {100 + i: f"Body {i}" for i in range(6)}
+
+
 def test_places_in_a_wrapper():
     match = wrappers.Matcher(wrappers.merge_streams([wrappers.json.dumps(wrappers.collapse(list(s))) for s in ("abbc", "axbc", "abxyxyc")]))
     for s in ("abbc", "axbc", "abxyxyc"):
