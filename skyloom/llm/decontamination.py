@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are runs of letters, digits and non-ASCII characters.  A word that begins
+Words are runs of letters, digits and non-ASCII characters; a number with signs
+inside (1,200 or 3.5) is one word, and so is a run of names (Mary Ann).  A word that begins
 with a digit becomes a number, a capitalised word inside a sentence a name, a unit word after
 a number a unit; other words are lower-cased.  Windows of ``WINDOW`` canonical
 words of texts and benchmark items are hash-joined; a window of fewer than
 ``LITERALS`` plain words says too little, so its words are taken as they are.  Matching windows on one diagonal of a text and an item are taken
-together: they must cover ``COVER`` of the item's words, and their slots must be
+together, and with those of diagonals at most ``MERGE`` away (words put in or left out) as
+long as their slots agree: they must cover ``COVER`` of the item's words, and their slots must be
 consistent (one value of the item always becomes the same value of the text).
 So a copy is found, and also the same question with other numbers, names or
 units.
@@ -36,6 +38,8 @@ LITERALS = 5
 #: Plain words that a whole short item must have.
 SHORT_LITERALS = 3
 COVER = 0.6
+#: Diagonals this near are one passage (words put in or left out at one place).
+MERGE = 8
 FILTER_BITS = 24
 
 # Unit words that follow a number.
@@ -48,6 +52,10 @@ percent degrees celsius fahrenheit kelvin dollar dollars cent cents euro euros u
 
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F))
 
+#: Signs inside a number, and between names of a run.
+_SIGN, _BLANK = np.zeros((2, 256), bool)
+_SIGN[[44, 46, 58]] = _BLANK[[9, 32, 39, 45]] = True
+
 
 def _unit_hashes() -> np.ndarray:
     data = " ".join(UNITS).encode()
@@ -81,6 +89,19 @@ def _canonical(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     at = np.minimum(np.searchsorted(_UNITS, own), len(_UNITS) - 1)
     unit = after_number & (_UNITS[at] == own)
     hashes = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, own)))
+    # a number goes on after a single sign, a name after blanks, hyphens and apostrophes
+    follows = np.flatnonzero((owner[1:] == owner[:-1]) & ((number[1:] & number[:-1]) | (name[1:] & name[:-1]))) + 1
+    gap = s[follows] - e[follows - 1]
+    joins = np.where(number[follows], (gap == 1) & _SIGN[data[s[follows] - 1]], True)
+    for d in range(int(gap[~number[follows]].max(initial=0))):
+        joins &= number[follows] | (gap <= d) | _BLANK[data[np.minimum(e[follows - 1] + d, s[follows] - 1)]]
+    more = np.zeros(len(s), bool)
+    more[follows[joins]] = True
+    if more.any():
+        first_of = np.flatnonzero(~more)
+        rank = np.arange(len(s)) - np.repeat(first_of, np.diff(np.concatenate((first_of, [len(s)]))))
+        own = np.add.reduceat(np.where(more, mix(own + rank.astype(np.uint64)), own), first_of)
+        hashes, number, name, unit, owner = hashes[first_of], number[first_of], name[first_of], unit[first_of], owner[first_of]
     return hashes, own, number | name | unit, owner
 
 
@@ -160,12 +181,63 @@ def matches(docs: DataFrame, key: str, items: DataFrame) -> DataFrame:
     sent = source.mapInArrow(run, _schema(source.schema["key"].dataType.simpleString())).distinct()
     theirs = known.distinct().select("window", "size", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n_words").alias("item_words"), F.col("slots").alias("item_slot"))
     hits = sent.select("window", "size", F.col("id").alias("key"), "at", F.col("slots").alias("text_slot")).join(theirs, ["window", "size"])
+    # a passage lies on diagonals within the length of its item: bands of twice that, half over each other
     hits = hits.select("key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "size", F.col("item_words").alias("n_words"), F.arrays_zip("item_slot", "text_slot").alias("pairs"))
+    low = F.floor(F.col("diagonal") / F.greatest("n_words", F.lit(MERGE)))
     runs = hits.groupBy("key", "item_id", "n_words", "diagonal").agg(F.collect_set(F.struct("item_at", "size")).alias("seen"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("seen", lambda w: F.sequence(w["item_at"], w["item_at"] + w["size"] - 1)))))
-    froms = F.transform("pairs", lambda p: p["item_slot"])
-    runs = runs.withColumn("cover", covered / F.col("n_words")).withColumn("consistent", F.size(F.array_distinct(froms)) == F.size("pairs")).withColumn("exact", F.forall("pairs", lambda p: p["item_slot"] == p["text_slot"]))
-    return runs.where((F.col("cover") >= COVER) & F.col("consistent")).groupBy("key", "item_id").agg(F.max("cover").alias("cover"), F.max("exact").alias("exact"))
+    places = F.array_distinct(F.flatten(F.transform("seen", lambda w: F.sequence(w["item_at"], w["item_at"] + w["size"] - 1))))
+    runs = runs.select("key", "item_id", "n_words", F.explode(F.array(low, low + 1)).alias("band"), F.struct("diagonal", places.alias("places"), F.col("pairs.item_slot").alias("item_slot"), F.col("pairs.text_slot").alias("text_slot")).alias("run"))
+    bands = runs.groupBy("key", "item_id", "n_words", "band").agg(F.collect_list("run").alias("runs"))
+    bands = bands.where(F.size(F.array_distinct(F.flatten("runs.places"))) / F.col("n_words") >= COVER)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_passage(runs, n) for runs, n in zip(b.column("runs").to_pylist(), b.column("n_words").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("item_id"), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.bool_())], ["key", "item_id", "cover", "exact"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in bands.schema.fields}
+    judged = bands.select("key", "item_id", "n_words", "runs").mapInArrow(judge, f"key {kinds['key']}, item_id {kinds['item_id']}, cover double, exact boolean")
+    return judged.where(F.col("cover") >= COVER).groupBy("key", "item_id").agg(F.max("cover").alias("cover"), F.max("exact").alias("exact"))
+
+
+def _agree(known: dict, run: dict) -> dict | None:
+    """``known`` values of slots with those of a diagonal; none if they contradict."""
+    out = dict(known)
+    for x, y in zip(run["item_slot"], run["text_slot"], strict=True):
+        if out.setdefault(x, y) != y:
+            return None
+    return out
+
+
+def _passage(runs: list[dict], n_words: int) -> tuple[float, bool]:
+    """Largest cover of neighbouring diagonals that agree, and whether one that covers enough is a copy.
+
+    From every diagonal on, the nearest ones are added while their slots agree and
+    they lie at most ``MERGE`` from one added before.
+    """
+    runs = sorted(runs, key=lambda r: r["diagonal"])
+    best, exact = 0.0, False
+    for i, start in enumerate(runs):
+        values = _agree({}, start)
+        if values is None:
+            continue
+        places = set(start["places"])
+        if len(places) / n_words >= COVER and all(x == y for x, y in values.items()):
+            exact = True
+        for side in (runs[i + 1 :], runs[:i][::-1]):
+            at = start["diagonal"]
+            for r in side:
+                if abs(r["diagonal"] - at) > MERGE:
+                    break
+                if places.issuperset(r["places"]):
+                    continue
+                if (both := _agree(values, r)) is not None:
+                    values, at = both, r["diagonal"]
+                    places.update(r["places"])
+        best = max(best, len(places) / n_words)
+        if best >= 1.0 and exact:
+            break
+    return best, exact
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

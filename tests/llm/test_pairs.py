@@ -123,6 +123,16 @@ def test_decontamination(spark):
     assert decontamination.matches(docs, "doc_id", items.limit(0)).count() == 0
 
 
+def test_words_put_in_and_longer_names_and_numbers(spark):
+    w = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    question = "if Ann buys 950 bags of rice and sells 4 of them to her friend Bob, how many bags of rice does Ann have left over"
+    items = spark.createDataFrame([(1, " ".join(w)), (2, question)], "item_id long, text string")
+    other = question.replace("Ann", "Mary Jane").replace("950", "1,200").replace("4", "3.5").replace("Bob", "Jean-Luc")
+    rows = [(1, " ".join([*w[:20], "more", *w[20:]])), (2, " ".join([*w[:20], *w[21:]])), (3, other), (4, other.replace("Mary Jane", "Eve", 1)), (5, " ".join([*w[:20], *["gap"] * 30, *w[20:]])), (6, " ".join(w[:20]))]
+    got = {(r.key, r.item_id): (r.cover, r.exact) for r in decontamination.matches(table(spark, rows), "doc_id", items).collect()}
+    assert got == {(1, 1): (1.0, False), (2, 1): (0.975, False), (3, 2): (1.0, False)}
+
+
 def test_planted_passages_and_clean_texts(spark):
     rng = random.Random(4)
     words = [f"v{i}" for i in range(50)]
