@@ -5,10 +5,12 @@ inside (1,200 or 3.5) is one word, and so is a run of names (Mary Ann).  A word
 with a digit becomes a number, a capitalised word inside a sentence a name, a unit word after
 a number a unit; other words are lower-cased.  Windows of ``WINDOW`` canonical
 words of texts and benchmark items are hash-joined; a window of fewer than
-``LITERALS`` plain words says too little, so its words are taken as they are.  Matching windows on one diagonal of a text and an item are taken
+``LITERALS`` plain words is also sent with its words as they are, and one without any only so.  Matching windows on one diagonal of a text and an item are taken
 together, and with those of diagonals at most ``MERGE`` away (words put in or left out) as
 long as their slots agree: they must cover ``COVER`` of the item's words, and their slots must be
 consistent (one value of the item always becomes the same value of the text).
+Unless all values are the item's own, ``LEAST_PLAIN`` of the covered words and
+``PLAIN_SHARE`` of them must be plain.
 So a copy is found, and also the same question with other numbers, names or
 units.
 
@@ -37,6 +39,8 @@ WINDOW = 8
 LITERALS = 5
 #: Plain words that a whole short item must have.
 SHORT_LITERALS = 3
+#: Plain words that a passage with other values must have, and their share of its words.
+LEAST_PLAIN, PLAIN_SHARE = 3, 0.25
 COVER = 0.6
 #: Diagonals this near are one passage (words put in or left out at one place).
 MERGE = 8
@@ -105,23 +109,24 @@ def _canonical(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return hashes, own, number | name | unit, owner
 
 
-def _windows(hashes: np.ndarray, own: np.ndarray, slot: np.ndarray, owner: np.ndarray, k: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and hash of every window of k words."""
+def _windows(hashes: np.ndarray, own: np.ndarray, slot: np.ndarray, owner: np.ndarray, k: int, least: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, hash and whether taken as it is, of the windows of k words: by template from
+    ``least`` plain words on, as they are below ``literals``."""
     n = len(hashes) - k + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     h, exact = np.zeros(n, np.uint64), np.full(n, 1, np.uint64)
     for i in range(k):
         h = h * np.uint64(_Q) + hashes[i : n + i]
         exact = exact * np.uint64(_Q) + own[i : n + i]
     plain = np.concatenate(([0], np.cumsum(~slot)))
-    h = np.where(plain[k:] - plain[:-k] >= literals, h, exact)
-    at = np.flatnonzero(owner[:n] == owner[k - 1 :])
-    return at, mix(h[at] + np.uint64(k))
+    whole, plain = owner[:n] == owner[k - 1 :], plain[k:] - plain[:-k]
+    a, b = np.flatnonzero(whole & (plain >= least)), np.flatnonzero(whole & (plain < literals))
+    return np.concatenate((a, b)), mix(np.concatenate((h[a], exact[b])) + np.uint64(k)), np.arange(len(a) + len(b)) >= len(a)
 
 
 def _rows(column: pa.Array, ids: pa.Array, lengths: list[int], bits: np.ndarray | None, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Windows of a column of texts: id, window, at, size, n_words, slots.
+    """Windows of a column of texts: id, window, at, size, n_words, slots, mask, verbatim.
 
     ``lengths``: window lengths wanted; ``whole``: of items, only their own length
     if shorter than a window; ``bits``: the filter of windows worth sending.
@@ -131,13 +136,13 @@ def _rows(column: pa.Array, ids: pa.Array, lengths: list[int], bits: np.ndarray
         count = np.bincount(owner, minlength=c.n)
         begin = np.concatenate(([0], np.cumsum(count)))
         for k in lengths:
-            at, h = _windows(hashes, own, slot, owner, k, LITERALS if k == WINDOW else SHORT_LITERALS)
+            at, h, verbatim = _windows(hashes, own, slot, owner, k, *((1, LITERALS) if k == WINDOW else (SHORT_LITERALS, SHORT_LITERALS)))
             if whole and k < WINDOW:
                 keep = count[owner[at]] == k
-                at, h = at[keep], h[keep]
+                at, h, verbatim = at[keep], h[keep], verbatim[keep]
             if bits is not None:
                 keep = bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-                at, h = at[keep], h[keep]
+                at, h, verbatim = at[keep], h[keep], verbatim[keep]
             if not len(at):
                 continue
             text = owner[at]
@@ -145,11 +150,12 @@ def _rows(column: pa.Array, ids: pa.Array, lengths: list[int], bits: np.ndarray
             values = own[at[:, None] + np.arange(k)][inside].view(np.int64)
             offsets = np.concatenate(([0], np.cumsum(inside.sum(axis=1)))).astype(np.int32)
             slots = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + c.first)), pa.array(h.view(np.int64)), pa.array(at - begin[text]), pa.array(np.full(len(at), k)), pa.array(count[text]), slots], ["id", "window", "at", "size", "n_words", "slots"])
+            mask = (inside * (1 << np.arange(k))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(text + c.first)), pa.array(h.view(np.int64)), pa.array(at - begin[text]), pa.array(np.full(len(at), k)), pa.array(count[text]), slots, pa.array(mask), pa.array(verbatim)], ["id", "window", "at", "size", "n_words", "slots", "mask", "verbatim"])
 
 
 def _schema(kind: str) -> str:
-    return f"id {kind}, window bigint, at bigint, size bigint, n_words bigint, slots array<bigint>"
+    return f"id {kind}, window bigint, at bigint, size bigint, n_words bigint, slots array<bigint>, mask bigint, verbatim boolean"
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -178,15 +184,21 @@ def matches(docs: DataFrame, key: str, items: DataFrame) -> DataFrame:
         for b in batches:
             yield from _rows(b.column("text"), b.column("key"), lengths, wanted, False)
 
-    sent = source.mapInArrow(run, _schema(source.schema["key"].dataType.simpleString())).distinct()
-    theirs = known.distinct().select("window", "size", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n_words").alias("item_words"), F.col("slots").alias("item_slot"))
-    hits = sent.select("window", "size", F.col("id").alias("key"), "at", F.col("slots").alias("text_slot")).join(theirs, ["window", "size"])
+    sent = source.mapInArrow(run, _schema(source.schema["key"].dataType.simpleString())).drop("mask").distinct()
+    theirs = known.distinct().select("window", "size", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("n_words").alias("item_words"), F.col("slots").alias("item_slot"), "mask")
+    hits = sent.select("window", "size", F.col("id").alias("key"), "at", F.col("slots").alias("text_slot"), "verbatim").join(theirs, ["window", "size"])
+    # a window that matches as it is may be read otherwise at a sentence's begin: its values are the item's
+    pairs = F.arrays_zip("item_slot", F.when(F.col("verbatim"), F.col("item_slot")).otherwise(F.col("text_slot")).alias("text_slot"))
     # a passage lies on diagonals within the length of its item: bands of twice that, half over each other
-    hits = hits.select("key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "size", F.col("item_words").alias("n_words"), F.arrays_zip("item_slot", "text_slot").alias("pairs"))
+    hits = hits.select("key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "size", F.col("item_words").alias("n_words"), "mask", pairs.alias("pairs"))
     low = F.floor(F.col("diagonal") / F.greatest("n_words", F.lit(MERGE)))
-    runs = hits.groupBy("key", "item_id", "n_words", "diagonal").agg(F.collect_set(F.struct("item_at", "size")).alias("seen"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    places = F.array_distinct(F.flatten(F.transform("seen", lambda w: F.sequence(w["item_at"], w["item_at"] + w["size"] - 1))))
-    runs = runs.select("key", "item_id", "n_words", F.explode(F.array(low, low + 1)).alias("band"), F.struct("diagonal", places.alias("places"), F.col("pairs.item_slot").alias("item_slot"), F.col("pairs.text_slot").alias("text_slot")).alias("run"))
+    same = F.forall("pairs", lambda p: p["item_slot"] == p["text_slot"])
+    runs = hits.withColumn("same", same).groupBy("key", "item_id", "n_words", "diagonal").agg(F.collect_set(F.struct("item_at", "size", "mask", "same")).alias("seen"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    words = F.flatten(F.transform("seen", lambda w: F.transform(F.sequence(w["item_at"], w["item_at"] + w["size"] - 1), lambda i: F.struct(i.alias("at"), (F.getbit(w["mask"], (i - w["item_at"]).cast("int")) == 0).alias("plain"), w["same"].alias("same")))))
+    runs = runs.select("key", "item_id", "n_words", "diagonal", low.alias("low"), "pairs", words.alias("words"))
+    at = lambda test: F.array_distinct(F.transform(F.filter("words", test), lambda w: w["at"]))
+    columns = {"places": at(lambda w: F.lit(True)), "plain": at(lambda w: w["plain"]), "kept": at(lambda w: w["same"]), "item_slot": F.col("pairs.item_slot"), "text_slot": F.col("pairs.text_slot")}
+    runs = runs.withColumns(columns).select("key", "item_id", "n_words", F.explode(F.array("low", F.col("low") + 1)).alias("band"), F.struct("diagonal", *columns).alias("run"))
     bands = runs.groupBy("key", "item_id", "n_words", "band").agg(F.collect_list("run").alias("runs"))
     bands = bands.where(F.size(F.array_distinct(F.flatten("runs.places"))) / F.col("n_words") >= COVER)
 
@@ -209,6 +221,18 @@ def _agree(known: dict, run: dict) -> dict | None:
     return out
 
 
+def _near(runs: list[dict]) -> Iterator[list[dict]]:
+    """Runs in order of diagonals, parted where they lie more than ``MERGE`` apart."""
+    group: list[dict] = []
+    for r in runs:
+        if group and r["diagonal"] - group[-1]["diagonal"] > MERGE:
+            yield group
+            group = []
+        group.append(r)
+    if group:
+        yield group
+
+
 def _passage(runs: list[dict], n_words: int) -> tuple[float, bool]:
     """Largest cover of neighbouring diagonals that agree, and whether one that covers enough is a copy.
 
@@ -217,11 +241,13 @@ def _passage(runs: list[dict], n_words: int) -> tuple[float, bool]:
     """
     runs = sorted(runs, key=lambda r: r["diagonal"])
     best, exact = 0.0, False
+    for group in _near([r for r in runs if r["kept"]]):  # what is verbatim agrees
+        best = max(best, len({x for r in group for x in r["kept"]}) / n_words)
     for i, start in enumerate(runs):
         values = _agree({}, start)
         if values is None:
             continue
-        places = set(start["places"])
+        places, plain = set(start["places"]), set(start["plain"])
         if len(places) / n_words >= COVER and all(x == y for x, y in values.items()):
             exact = True
         for side in (runs[i + 1 :], runs[:i][::-1]):
@@ -234,7 +260,9 @@ def _passage(runs: list[dict], n_words: int) -> tuple[float, bool]:
                 if (both := _agree(values, r)) is not None:
                     values, at = both, r["diagonal"]
                     places.update(r["places"])
-        best = max(best, len(places) / n_words)
+                    plain.update(r["plain"])
+        if all(x == y for x, y in values.items()) or (len(plain) >= LEAST_PLAIN and len(plain) >= PLAIN_SHARE * len(places)):
+            best = max(best, len(places) / n_words)
         if best >= 1.0 and exact:
             break
     return best, exact

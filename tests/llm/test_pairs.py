@@ -133,6 +133,16 @@ def test_words_put_in_and_longer_names_and_numbers(spark):
     assert got == {(1, 1): (1.0, False), (2, 1): (0.975, False), (3, 2): (1.0, False)}
 
 
+def test_items_full_of_numbers_and_names(spark):
+    items = spark.createDataFrame([(1, "In 2019 Ann paid 40 dollars and Bob paid 55 dollars"), (2, "1 2 3 4 5 6 7 8 9 and 10 11 12 13"), (3, "Then in 2019 Ann Lee paid 40 dollars, 30 cents, Bob paid 55 dollars")], "item_id long, text string")
+    rows = [
+        (1, "In 1987 Eve paid 12 dollars and Max paid 7 dollars"), (2, "In 1987 Eve paid 12 dollars and Max paid 12 cents"), (3, "x 2 2 3 4 5 6 7 8 9 and 10 11 12 14"), (4, "see 1 2 3 4 5 6 7 8 9 and 10 11 12 13"),
+        (5, "so in 2019 ann paid 40 dollars and bob paid 55 dollars"), (6, "In 1987 Eve paid 12 dollars and Eve paid 7 dollars"),
+    ]
+    got = {(r.key, r.item_id): r.exact for r in decontamination.matches(table(spark, rows), "doc_id", items).collect()}
+    assert got == {(1, 1): False, (3, 2): False, (4, 2): True, (5, 1): True, (6, 1): False}
+
+
 def test_planted_passages_and_clean_texts(spark):
     rng = random.Random(4)
     words = [f"v{i}" for i in range(50)]
