@@ -1,9 +1,10 @@
 """The whole mosaic: search, order, mask, restrict, reduce, write.
 
 Scenes and pixels are tables.  ``scenes`` has a row for each scene (scene_id,
-tile, datetime, x0, y0, x1, y1, orbit, nodata, cloud, shadow, baseline, and any
-queried properties as columns with ``:`` written ``_``); ``pixels`` has scene,
-row, col, scl and a column for each band, on the output grid.
+tile, datetime, x0, y0, x1, y1 in degrees, orbit, nodata, cloud, shadow, baseline,
+any queried properties as columns with ``:`` written ``_`` or in a map ``props``,
+and, if known, the footprint as ``geometry``), as ``stac.scenes`` gives it; ``pixels``
+has scene, row, col, scl and a column for each band, on the output grid.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -38,17 +39,25 @@ def search(scenes: DataFrame, request: MosaicRequest) -> DataFrame:
             box = (min(xs), min(ys), max(xs), max(ys))
         found = found.where(catalog.overlaps([F.col(c) for c in ("x0", "y0", "x1", "y1")], box))
     known = set(scenes.columns)
-    found = found.where(catalog.property_filter(request.additional_query or {}, lambda name: F.col(name.replace(":", "_")).cast("string") if name.replace(":", "_") in known else F.lit(None).cast("string")))
+
+    def value(name: str) -> Column:
+        column = name.replace(":", "_")
+        given = [F.col(column).cast("string")] if column in known else []
+        given += [F.try_element_at("props", F.lit(name)).cast("string")] if "props" in known else []
+        return F.coalesce(*given) if given else F.lit(None).cast("string")
+
+    found = found.where(catalog.property_filter(request.additional_query or {}, value))
     if request.ignore_duplicate_items and "baseline" in known:
         found = catalog.latest_baseline(found, "datetime", "tile", "baseline", ["scene_id"])
     found = found.withColumn("good", catalog.good_share(F.col("nodata"), F.col("cloud"), F.col("shadow")))
     return catalog.ranked(found, request.scene_order, sort=request.scene_sort_fn)
 
 
-def mosaic(scenes: DataFrame, pixels: DataFrame, grid: DataFrame, request: MosaicRequest, *, ring: list[tuple[float, float]] | None = None, tile: int = TILE, mask_fn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def mosaic(scenes: DataFrame, pixels: DataFrame, grid: DataFrame, request: MosaicRequest, *, place: geotiff.Grid | None = None, ring: list[tuple[float, float]] | None = None, tile: int = TILE, mask_fn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """row, col, the bands, n and valid for every pixel of ``grid`` (row, col).
 
-    ``ring``: the area in pixel coordinates, if the request has one.  ``mask_fn``
+    ``place``: where ``grid`` lies, needed for ``min_coverage_fraction``, which counts
+    the footprints of the scenes.  ``ring``: the area in pixel coordinates, if the request has one.  ``mask_fn``
     keeps the valid rows of the ranked pixels in place of the class mask; the OCM
     mask, a neural network that is not part of this package, must be given so.
     No scene found is a ValueError.
@@ -57,6 +66,8 @@ def mosaic(scenes: DataFrame, pixels: DataFrame, grid: DataFrame, request: Mosai
     request.validate()
     if request.cloud_mask == "OCM" and mask_fn is None:
         raise ValueError("cloud_mask='OCM' needs a neural network that is not part of this package; use 'SCL' or give mask_fn")
+    if request.min_coverage_fraction is not None and place is None:
+        raise ValueError("min_coverage_fraction needs place, the grid that the pixels lie on")
     found = search(scenes, request)
     if found.isEmpty():
         raise ValueError("No scenes found for the specified area and dates")
@@ -68,7 +79,7 @@ def mosaic(scenes: DataFrame, pixels: DataFrame, grid: DataFrame, request: Mosai
         cover = coverage.burn_touched(cover, ring)
         seen = seen.join(cover, ["row", "col"], "left_semi")
     if request.min_coverage_fraction is not None:
-        counts = coverage.overlap_count(grid, found.select("x0", "y0", "x1", "y1"))
+        counts = coverage.footprint_count(grid, found, place)
         cover = cover.join(coverage.frequent(counts, request.min_coverage_fraction), ["row", "col"], "left_semi")
         seen = seen.join(cover, ["row", "col"], "left_semi")
     seen = reduce.source_valid(seen, bands)

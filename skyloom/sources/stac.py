@@ -37,6 +37,7 @@ def scenes(items: DataFrame) -> DataFrame:
         F.coalesce(p("proj:epsg"), F.substring_index(p("proj:code"), ":", -1)).try_cast("int").alias("epsg"),
         F.filter(F.transform(F.map_values("assets"), lambda a: a["proj:transform"]), lambda t: t.isNotNull()).alias("t"),
         "props",
+        "geometry",
     )
     first = F.get("t", F.lit(0))
     return rows.withColumn("origin_x", F.get(first, F.lit(2))).withColumn("origin_y", F.get(first, F.lit(5))).drop("t")

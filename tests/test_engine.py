@@ -13,7 +13,7 @@ from skyloom.functions import geo, names
 from skyloom.operators import coverage, masks, resample
 from skyloom.plans import engine
 from skyloom.plans.request import MosaicRequest
-from skyloom.sources import catalog, geotiff
+from skyloom.sources import catalog, geotiff, stac
 from skyloom.sources.tiles import TileSource
 from skyloom.streaming import incremental
 
@@ -178,6 +178,34 @@ def test_whole_mosaic(spark, tmp_path):
     assert 36 <= part.where("n > 0").count() <= 64
 
 
+def stac_scenes(spark, tmp_path, shapes):
+    item = lambda k, ring, cloud: {"id": k, "bbox": [min(p[0] for p in ring), min(p[1] for p in ring), max(p[0] for p in ring), max(p[1] for p in ring)], "geometry": {"type": "Polygon", "coordinates": [ring]}, "properties": {"datetime": "2023-06-03T02:00:00Z", "s2:mgrs_tile": "50HMH", "s2:processing_baseline": "05.09", "s2:product_uri": f"S2A_R060_T50HMH_{k}", "eo:cloud_cover": cloud}, "assets": {}}
+    (tmp_path / "items.json").write_text(json.dumps({"type": "FeatureCollection", "features": [item(*x) for x in shapes]}))
+    return stac.scenes(stac.read_items(spark, str(tmp_path / "items.json")))
+
+
+def test_mosaic_of_stac_scenes(spark, tmp_path):
+    place = geotiff.Grid(100.0, 390000.0, 6470000.0, 40, 40, 32750)
+    corner = lambda c, r: list(geo_degrees(spark, place.minx + c * 100, place.maxy - r * 100))
+    left = [corner(-9, -9), corner(20, -9), corner(20, 49), corner(-9, 49), corner(-9, -9)]
+    steep = [corner(-9, -9), corner(49, -9), corner(-9, 49), corner(-9, -9)]
+    scenes = stac_scenes(spark, tmp_path, [("a", left, 5), ("b", steep, 7.5), ("c", left, 100)])
+    grid = spark.range(1600).selectExpr("id div 40 as row", "id % 40 as col")
+    counts = {(r.row, r.col): r.n for r in coverage.footprint_count(grid, scenes, place).collect()}
+    assert counts[5, 5] == 3 and counts[35, 5] == 2 + (35 + 5 < 39) and counts[5, 30] == 1 and counts[35, 35] == 0 and counts[0, 19] == 3 and counts[0, 20] == 1
+    pixels = spark.createDataFrame([("a",), ("b",), ("c",)], "scene string").crossJoin(grid).selectExpr("*", "4 as scl", "case scene when 'a' then 10L when 'b' then 20L else 1000L end as B04")
+    request = MosaicRequest(bounds=(115.0, -33.0, 116.5, -31.0), start_year=2023, start_month=6, duration_days=30, bands=("B04",), cloud_mask="SCL", min_coverage_fraction=0.9, ignore_duplicate_items=False)
+    done = {(r.row, r.col): (r.B04, r.n) for r in engine.mosaic(scenes, pixels, grid, request, place=place).collect()}
+    assert done[5, 5] == (15, 2) and done[5, 30] == (0, 0) and done[35, 35] == (0, 0)
+    with pytest.raises(ValueError, match="needs place"):
+        engine.mosaic(scenes, pixels, grid, request)
+
+
+def geo_degrees(spark, x, y):
+    lon, lat = geo.utm_inverse(F.lit(float(x)), F.lit(float(y) - geo.FALSE_NORTHING), F.lit(50))
+    return spark.range(1).select(lon.alias("lon"), lat.alias("lat")).first()
+
+
 def test_stream_of_scenes(spark, tmp_path):
     schema = "px long, rank long, b1 long, b2 long"
     spark.createDataFrame([(1, 1, 10, 4), (1, 2, 21, 6), (2, 1, 5, 5)], schema).write.parquet(str(tmp_path / "in"))
