@@ -165,6 +165,26 @@ def metres(minx: Column, miny: Column, maxx: Column, maxy: Column) -> list[Colum
     return [(maxx - minx) * 111111.0 * F.cos(F.radians(middle)), (maxy - miny) * 111111.0]
 
 
+def _meet(a: tuple, b: tuple, c: tuple, d: tuple) -> bool:
+    """Whether the closed segments ab and cd have a point in common."""
+    if max(a[0], b[0]) < min(c[0], d[0]) or max(c[0], d[0]) < min(a[0], b[0]) or max(a[1], b[1]) < min(c[1], d[1]) or max(c[1], d[1]) < min(a[1], b[1]):
+        return False
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    return side(a, b, c) * side(a, b, d) <= 0 and side(c, d, a) * side(c, d, b) <= 0
+
+
+def polygons_meet(one: list[list[tuple[float, float]]], other: list[list[tuple[float, float]]]) -> bool:
+    """Whether two polygons (rings, the first outside) touch or overlap."""
+    edges = [[(a, b) for ring in rings for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)] for rings in (one, other)]
+    if any(_meet(*e, *f) for e in edges[0] for f in edges[1]):
+        return True
+
+    def holds(sides: list[tuple], p: tuple[float, float]) -> bool:
+        return sum((a[1] > p[1]) != (b[1] > p[1]) and p[0] < a[0] + (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) for a, b in sides) % 2 == 1
+
+    return holds(edges[1], one[0][0]) or holds(edges[0], other[0][0])
+
+
 def clip_ring(ring: list[tuple[float, float]], box: tuple[float, float, float, float]) -> list[tuple[float, float]]:
     """The part of a ring inside a box, side by side (for convex results)."""
     x0, y0, x1, y1 = box

@@ -15,10 +15,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import names
+from ..functions import geo, names
 from ..operators import blocks, coverage, masks, reduce
 from ..sources import catalog, geotiff
 from .request import MosaicRequest
@@ -38,6 +39,8 @@ def search(scenes: DataFrame, request: MosaicRequest) -> DataFrame:
             xs, ys = [p[0] for p in request.aoi], [p[1] for p in request.aoi]
             box = (min(xs), min(ys), max(xs), max(ys))
         found = found.where(catalog.overlaps([F.col(c) for c in ("x0", "y0", "x1", "y1")], box))
+        if request.aoi is not None:
+            found = meeting(found, list(request.aoi))
     known = set(scenes.columns)
 
     def value(name: str) -> Column:
@@ -53,6 +56,32 @@ def search(scenes: DataFrame, request: MosaicRequest) -> DataFrame:
     return catalog.ranked(found, request.scene_order, sort=request.scene_sort_fn)
 
 
+def meeting(scenes: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
+    """Scenes whose footprint (its geometry if known, else its box) meets a ring in degrees."""
+    known = "geometry" in scenes.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            boxes = zip(*(b.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1")), strict=True)
+            shapes = b.column("geometry").to_pylist() if known else [None] * b.num_rows
+            keep = []
+            for (x0, y0, x1, y1), shape in zip(boxes, shapes, strict=True):
+                parts = coverage.polygons(shape["type"], shape["coordinates"]) if shape else [[[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]]
+                keep.append(any(geo.polygons_meet(rings, [ring]) for rings in parts))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return scenes.mapInArrow(run, scenes.schema)
+
+
+def refuse_unconnected(request: MosaicRequest, place: geotiff.Grid | None) -> None:
+    """A ValueError for options that ``mosaic`` cannot carry out: pixels come on the output grid."""
+    if request.output_crs is not None and (place is None or place.epsg != request.output_crs):
+        raise ValueError(f"output_crs={request.output_crs} is not carried out: give place, a grid in it that the pixels lie on")
+    for name, only in (("resampling_method", "nearest"), ("input_crs", 4326), ("snap_to_source_grid", False), ("adaptive_tiling", True)):
+        if getattr(request, name) != only:
+            raise ValueError(f"{name}={getattr(request, name)!r} is not carried out by mosaic; only {only!r} is")
+
+
 def mosaic(scenes: DataFrame, pixels: DataFrame, grid: DataFrame, request: MosaicRequest, *, place: geotiff.Grid | None = None, ring: list[tuple[float, float]] | None = None, tile: int = TILE, mask_fn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """row, col, the bands, n and valid for every pixel of ``grid`` (row, col).
 
@@ -68,6 +97,7 @@ def mosaic(scenes: DataFrame, pixels: DataFrame, grid: DataFrame, request: Mosai
         raise ValueError("cloud_mask='OCM' needs a neural network that is not part of this package; use 'SCL' or give mask_fn")
     if request.min_coverage_fraction is not None and place is None:
         raise ValueError("min_coverage_fraction needs place, the grid that the pixels lie on")
+    refuse_unconnected(request, place)
     found = search(scenes, request)
     if found.isEmpty():
         raise ValueError("No scenes found for the specified area and dates")

@@ -201,6 +201,21 @@ def test_mosaic_of_stac_scenes(spark, tmp_path):
         engine.mosaic(scenes, pixels, grid, request)
 
 
+def test_area_is_searched_by_its_polygon(spark, tmp_path):
+    box = lambda x, y, d: [[x, y], [x + d, y], [x + d, y + d], [x, y + d], [x, y]]
+    ring = ((115.0, -32.0), (116.0, -32.0), (115.0, -31.0))
+    scenes = stac_scenes(spark, tmp_path, [("far", box(115.8, -31.2, 0.1), 5), ("in", box(115.1, -31.9, 0.1), 5), ("cut", box(115.4, -31.6, 0.4), 5), ("round", box(114.0, -33.0, 4.0), 5), ("slant", [[115.9, -31.1], [116.1, -31.9], [116.1, -31.0], [115.9, -31.1]], 5)])
+    request = MosaicRequest(aoi=ring, start_year=2023, start_month=6, duration_days=30, ignore_duplicate_items=False).normalized()
+    assert {r.scene_id for r in engine.search(scenes, request).collect()} == {"in", "cut", "round"}
+    assert {r.scene_id for r in engine.search(scenes.drop("geometry"), request).collect()} == {"in", "cut", "round"}
+
+
+@pytest.mark.parametrize("change", [{"resampling_method": "cubic"}, {"input_crs": 32750, "bounds": (390000, 6460000, 400000, 6470000)}, {"output_crs": 32750}, {"snap_to_source_grid": True}, {"adaptive_tiling": False}])
+def test_options_that_are_not_carried_out_are_refused(change):
+    with pytest.raises(ValueError, match="not carried out"):
+        engine.mosaic(None, None, None, ok(**change))
+
+
 def geo_degrees(spark, x, y):
     lon, lat = geo.utm_inverse(F.lit(float(x)), F.lit(float(y) - geo.FALSE_NORTHING), F.lit(50))
     return spark.range(1).select(lon.alias("lon"), lat.alias("lat")).first()
