@@ -203,7 +203,7 @@ def matches(docs: DataFrame, key: str, items: DataFrame) -> DataFrame:
     bands = bands.where(F.size(F.array_distinct(F.flatten("runs.places"))) / F.col("n_words") >= COVER)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):  # few rows as Python objects at once
             found = [_passage(runs, n) for runs, n in zip(b.column("runs").to_pylist(), b.column("n_words").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("item_id"), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.bool_())], ["key", "item_id", "cover", "exact"])
 
