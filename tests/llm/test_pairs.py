@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from skyloom.llm import components, decontamination, fingerprints, jaccard, licences
@@ -74,13 +75,53 @@ def test_components_are_those_of_all_pairs(spark, seed):
     assert got == brute_components(rows)
 
 
-def test_tree_pass_alone_finds_what_the_stars_miss(spark, monkeypatch):
+def test_trees_of_several_blocks_find_what_their_offers_miss(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LEAF", 3)
     monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "HUB_PAIRS", 2)
     words = [f"x{i}" for i in range(200)]
     chain = [(k, " ".join(words[k * 6 : k * 6 + 90])) for k in range(15)]  # each like its neighbours only
-    got = {r.doc_id: r.component_id for r in jaccard.similar_components(table(spark, chain)).collect()}
-    assert got == {i: c for i, (_, c) in brute_components(chain).items()}
+    rng = random.Random(3)
+    base = [f"y{i}" for i in range(100)]
+    near = []
+    for k in range(60):  # copies that are only sometimes near enough to each other
+        w = list(base)
+        w[rng.randrange(len(w))] = f"z{k}"
+        w[rng.randrange(len(w))] = f"u{k}"
+        near.append((100 + k, " ".join(w)))
+    rows = chain + near
+    for limit in (500_000, 0):
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", limit)
+        got = {r.doc_id: r.component_id for r in jaccard.similar_components(table(spark, rows)).collect()}
+        assert got == {i: c for i, (_, c) in brute_components(rows).items()}
+
+
+def test_a_tree_joined_with_itself_or_another_gives_all_pairs_within_the_bound(monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    rng = np.random.default_rng(7)
+    sets = []
+    for n in (40, 60, 700, 1500):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets += [np.unique(np.concatenate((base[rng.random(n) > drop], rng.integers(0, 1 << 63, int(n * drop) + 1, dtype=np.uint64)))) for drop in (0, 0.02, 0.05, 0.1, 0.3, 0.6) for _ in range(4)]
+    vec, n = [jaccard._vector(s) for s in sets], np.array([len(s) for s in sets])
+    docs, comp = np.arange(len(sets)), rng.integers(0, 3, len(sets))
+    want = set()
+    for i in range(len(sets)):
+        for j in range(i):
+            g = min(len(vec[i]), len(vec[j])) - 1
+            u, v = (jaccard._fold(jaccard._counts(x), g) for x in (vec[i], vec[j]))
+            if comp[i] != comp[j] and np.minimum(u, v).sum() >= jaccard.needed(n[i], n[j]):
+                want.add((j, i))
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])):
+                assert np.minimum(u, v).sum() >= jaccard.needed(n[i], n[j])  # the bound loses no link
+    tree = jaccard.Tree(docs, n, comp, vec)
+    got = [tuple(sorted(p)) for a, b in jaccard.tree_pairs(tree, tree) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    size = [min(n[i], n[j]) * 100 >= 80 * max(n[i], n[j]) for i, j in sorted(want)]
+    assert len(got) == len(set(got)) and set(got) <= want and {p for p, ok in zip(sorted(want), size, strict=True) if ok} <= set(got)
+    half = len(sets) // 2
+    one, two = (jaccard.Tree(docs[s], n[s], comp[s], vec[s]) for s in (slice(0, half), slice(half, None)))
+    crossing = {tuple(sorted(p)) for a, b in jaccard.tree_pairs(one, two) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    assert crossing == {(i, j) for i, j in got if i < half <= j}
 
 
 def test_jaccard_edges(spark):
