@@ -1,25 +1,30 @@
 """Main text of web pages by inferred wrappers (union-free regular expressions).
 
 A page is a stream of text slots, each named by the elements around it.  Streams
-of one host are aligned one after the other: neighbouring repetitions become
-repeated groups, what only some pages have becomes optional, and texts become
+of one host are aligned one after the other: neighbouring repetitions of any
+length become repeated groups, what only some pages have becomes optional, and texts become
 slots.  The merge is associative enough to run on partial groups first, so
 distinct streams are counted before the shuffle and a large host is merged in
-slices.  Every page is then matched against the wrapper of its host: a unit whose
-texts are the same on all pages that have it is template, a unit whose texts vary,
-repeated or not, is content.  Menus, headers, footers, asides, adverts, notices,
-forms and comments are told by their elements and never content; of what is left
-a page gives the slots of its article, else of main, of an element named as
-content, or all.
+slices.  Every page is then matched against the wrapper of its host, and what the
+pages have in a slot of the wrapper decides about it:
+
+* a text that is the same wherever the slot occurs, two of these pages having
+  nothing else in common, is template if it is the smaller part of the pages;
+* a repeated group of links alone, outside an article, is a menu;
+* all other slots are content: they vary, or nothing shows that they are template.
+
+Elements that are never the article (nav, header, footer, aside, form, dialogs, scripts,
+adverts and comments by name) are left out; of what is left a page
+gives the slots of its article, else of main, of an element named as content, or all.
 
 Edge cases: a null or empty html gives an empty text; a null url has the empty
-host; unclosed and stray tags are tolerated; repeated rows are extracted each for
-itself; an empty table gives an empty result; whole pages are read.
+host; unclosed and stray tags are tolerated, and time does not depend on how deep
+elements are nested; repeated rows are extracted each for itself, and count once
+as evidence, as near copies do; an empty table gives an empty result; whole pages are read.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html
 import json
 import re
@@ -28,20 +33,27 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import stored, table, text_or_empty
+from .textnp import LOWER, SOLID, chunks, owners, shingles, span_hashes, spans
 
-#: Slices in which the streams of one host are merged first.
+#: Slices in which the streams of one host are merged, one level after the other.
+LEVELS = (256, 16, 1)
+#: Salts of a host whose wrapper is joined, not broadcast.
 SLICES = 16
-#: Longest repeated unit that is looked for, in slots.
-LONGEST_UNIT = 8
 #: Wrappers of at most so many bytes in all are broadcast, else joined.
 BROADCAST_BYTES = 16 << 20
-#: A unit is template if so many pages that differ in their other texts show its text and never another.
-CONSTANT_PAGES = 5
+#: Smallest shingle hashes that stand for the text of a page, words of a shingle, and the share
+#: of common ones from which two pages are (near) copies.
+SKETCH, SHINGLE, COPIES = 16, 3, 0.5
+#: A template's text is less than this share of the pages that show it.
+TEMPLATE_SHARE = 0.5
+#: Share of a menu's text that is links.
+LINK_SHARE = 0.9
 
 # Elements by role, and words of class, id and role that mark what is not content.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,9 +76,13 @@ NEGATIVE = set(
 POSITIVE = set("content article post entry story".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _UNLESS = {"with", "no", "has", "without"}
+#: Words after a name's first that say what part of it an element is.
+PARTS = set("area bar block body bottom box col column container content group inner item items left link links list main outer panel right row section slot text title top unit wrap wrapper".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: A quote opens a value only after an equals sign; elsewhere it is an ordinary character.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([^\s/=>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -75,44 +91,124 @@ def host_of(url: str) -> str:
     return m[1].lower() if m else ""
 
 
+def _negative(name: str) -> bool:
+    """Whether a class or id names something that is not content: by its last word, or by its first if the others say which part."""
+    words = [w for w in re.split(r"[-_:]+", name) if w]
+    if not words or _UNLESS & set(words):
+        return False
+    return words[-1] in NEGATIVE or (words[0] in NEGATIVE and PARTS.issuperset(words[1:]))
+
+
 def _label(tag: str, attrs: str) -> tuple[str, bool]:
     """Name of an element in slot paths, and whether its attributes mark it as not content."""
     if not attrs or attrs.isspace():
         return tag, False
-    found = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in _ATTR.finditer(attrs)}
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        found.setdefault(m[1].lower(), next((x for x in m.groups()[1:] if x is not None), ""))
     names = re.sub(r"\d+", "", f"{found.get('class', '')} {found.get('id', '')}".lower()).split()
     bad = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I))
-    if tag not in ("html", "body") and not bad:
-        for name in names:
-            words = re.split(r"[-_:]+", name)
-            if not _UNLESS & set(words) and NEGATIVE & set(words) and not (tag in MAIN and words[-1] not in ("comment", "teaser", "related", "ad", "promo")):
-                bad = True
-    return (tag + "".join(f".{n}" for n in sorted(set(names))[:3]) if names else tag), bad
+    if tag not in ("html", "body", *MAIN) and not bad:
+        bad = any(map(_negative, names))
+    elif tag in MAIN:
+        bad = bad or any(name.rpartition("-")[2].rpartition("_")[2] in ("comment", "teaser", "related", "ad", "promo") for name in names)
+    return (tag + "".join(f".{n}" for n in sorted(set(names))) if names else tag), bad
+
+
+class _Open:
+    """The open elements.  Closing one takes time only for what is closed."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, str, str, int]] = []  # tag, label, role inside it, hash of the path
+        self.at: dict[str, list[int]] = {}  # places of the open elements of a tag
+        self.scopes: list[int] = []
+        self.blocks: list[int] = []  # places of elements that are not inline
+
+    def push(self, tag: str, label: str, role: str) -> None:
+        i = len(self.items)
+        path = self.path() if tag in INLINE else zlib.crc32(f"/{label}".encode("utf-8", "replace"), self.path())
+        self.items.append((tag, label, role, path))
+        self.at.setdefault(tag, []).append(i)
+        if tag in SCOPES:
+            self.scopes.append(i)
+        if tag not in INLINE:
+            self.blocks.append(i)
+
+    def path(self) -> int:
+        return self.items[-1][3] if self.items else 0
+
+    def role(self) -> str:
+        return self.items[-1][2] if self.items else "o"
+
+    def name(self) -> str:
+        """Innermost block with the hash of its path."""
+        return f"{self.items[self.blocks[-1]][1]}~{self.path():08x}" if self.blocks else "text"
+
+    def cut(self, i: int) -> None:
+        while len(self.items) > i:
+            j = len(self.items) - 1
+            tag = self.items.pop()[0]
+            self.at[tag].pop()
+            for places in (self.scopes, self.blocks):
+                if places and places[-1] == j:
+                    places.pop()
+
+    def inside(self, tag: str) -> int | None:
+        """Place of the innermost open element of this tag within the innermost scope (of any, if it is a scope itself)."""
+        places = self.at.get(tag)
+        if not places or (tag not in SCOPES and self.scopes and self.scopes[-1] > places[-1]):
+            return None
+        return places[-1]
+
+    def close(self, tag: str) -> None:
+        i = self.inside(tag)
+        if i is not None and not (tag in INLINE and self.blocks and self.blocks[-1] > i):
+            self.cut(i)
+
+    def imply_end(self, tags: set[str]) -> None:
+        """End all open elements of these tags within the innermost scope."""
+        floor = self.scopes[-1] if self.scopes else -1
+        lowest = len(self.items)
+        for tag in tags:
+            for i in reversed(self.at.get(tag, ())):
+                if i < floor or (i == floor and tag not in SCOPES):
+                    break
+                lowest = min(lowest, i)
+        self.cut(lowest)
 
 
-def slots(page: str) -> list[tuple[str, str, str]]:
-    """(path, role, text) of the text slots in page order.
+def slots(page: str) -> list[tuple[str, str, str, int]]:
+    """(path, role, text, characters in links) of the text slots in page order.
 
     role: ``x`` not content by its elements, ``a`` inside an article, ``m`` inside
     a main element, ``c`` inside one named as content, ``o`` other.  Texts are decoded, white space is one space.
     """
-    out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str, str]] = []  # tag, label, role inside it
-    parts: list[str] = []
+    out: list[tuple[str, str, str, int]] = []
+    stack, parts = _Open(), []
+    linked = 0
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(("/".join(s[1] for s in stack if s[0] not in INLINE), stack[-1][2] if stack else "o", text))
+                out.append((stack.name(), stack.role(), text, min(linked, len(text))))
             parts.clear()
+        linked = 0
+
+    def take(raw: str) -> None:
+        nonlocal linked
+        text = html.unescape(raw)
+        parts.append(text)
+        if stack.at.get("a"):
+            linked += len(text)
 
-    at, raw = 0, None
+    at = 0
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue
         if m.start() > at:
-            parts.append(html.unescape(page[at : m.start()]))
+            take(page[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -120,15 +216,7 @@ def slots(page: str) -> list[tuple[str, str, str]]:
         if m[1]:
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in INLINE and any(s[0] not in INLINE for s in stack[i:]):
-                        break
-                    flush() if tag not in INLINE else None
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES and tag not in SCOPES:
-                    break
+            stack.close(tag)
             continue
         if tag == "br" or (tag in VOID and tag not in ("img", "wbr")):
             flush()
@@ -137,14 +225,10 @@ def slots(page: str) -> list[tuple[str, str, str]]:
             continue
         if tag not in INLINE:
             flush()
-            closes = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in closes:
-                    del stack[i:]
-                elif stack[i][0] in SCOPES:
-                    break
+            if closes := CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS else set()):
+                stack.imply_end(closes)
         label, bad = _label(tag, m[3] or "")
-        role = stack[-1][2] if stack else "o"
+        role = stack.role()
         if bad or tag in DROPPED or (tag == "header" and role not in ("a", "m")):
             role = "x"
         elif role != "x" and tag == "article":
@@ -156,30 +240,53 @@ def slots(page: str) -> list[tuple[str, str, str]]:
         if (m[3] or "").endswith("/") and tag not in ("p", "div", "a", "span"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = _END[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
-        stack.append((tag, label, role))
+        stack.push(tag, label, role)
     if at < len(page):
-        parts.append(html.unescape(page[at:]))
+        take(page[at:])
     flush()
     return out
 
 
+def stream_of(found: list[tuple[str, str, str, int]]) -> tuple[str, ...]:
+    """Names of the slots of a page."""
+    return tuple(f"{f[1]}:{f[0]}" for f in found)
+
+
 # -- union-free expressions: a list of [unit, least, repeats], unit a list of slot names
 
 
+def _widths(ids: np.ndarray) -> list[int]:
+    """Distances between neighbouring occurrences of a name: the lengths that a repeated unit can have."""
+    order = np.argsort(ids, kind="stable")
+    same = ids[order][1:] == ids[order][:-1]
+    return np.unique(np.diff(order)[same]).tolist()
+
+
 def placed(stream: list[str]) -> list[list]:
     """The stream with neighbouring repetitions as repeated groups, shortest units first;
     each with the places in the stream of every name of its unit."""
     items = [[[s], 1, False, [[i]]] for i, s in enumerate(stream)]
-    for width in range(1, LONGEST_UNIT + 1):
+    width, ids = 0, None
+    while True:
+        if ids is None:
+            known: dict[tuple, int] = {}
+            ids = np.array([known.setdefault((tuple(x[0]), x[2]), len(known)) for x in items], dtype=np.int64)
+            widths = _widths(ids)
+        width = next((w for w in widths if w > width), 0)
+        if not width:
+            return items
+        # how many items from each on equal those one width later
+        equal = np.append(ids[width:] == ids[:-width], np.zeros(width, bool))
+        ends = np.flatnonzero(~equal)
+        if np.diff(ends, prepend=-1).max() <= width:
+            continue
+        run = ends[np.searchsorted(ends, np.arange(len(ids)))] - np.arange(len(ids))
         out, i = [], 0
-        keys = [(tuple(x[0]), x[2]) for x in items]
         while i < len(items):
-            n = 1
-            while keys[i : i + width] == keys[i + n * width : i + (n + 1) * width] and i + (n + 1) * width <= len(items):
-                n += 1
+            n = int(run[i]) // width + 1
             if n > 1:
                 unit = [s for x in items[i : i + width] for s in x[0]]
                 again = [[at for x in items[k : k + width] for at in x[3]] for k in range(i, i + n * width, width)]
@@ -188,8 +295,7 @@ def placed(stream: list[str]) -> list[list]:
             else:
                 out.append(items[i])
                 i += 1
-        items = out
-    return items
+        items, ids = out, None
 
 
 def collapse(stream: list[str]) -> list[list]:
@@ -295,7 +401,7 @@ def _streams(pages: DataFrame) -> DataFrame:
         for b in batches:
             seen: Counter = Counter()
             for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                stream = tuple(f"{r}:{p}" for p, r, _ in slots(page))
+                stream = stream_of(slots(page))
                 if stream not in groups:
                     if len(groups) > 1024:
                         groups.clear()
@@ -332,69 +438,88 @@ def _matchers() -> Callable[[str], Matcher]:
     return get
 
 
-def _texts(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """host, slot, page, lo, hi: the texts of every slot of the wrappers and different pages that have it.
+def _page_sketches(texts: list[str]) -> list[list[int]]:
+    """The smallest shingle hashes of every text."""
+    out: list[list[int]] = []
+    for c in chunks(pa.array(texts, pa.string())):
+        low = LOWER[c.data]
+        s, e = spans(low, SOLID)
+        h, own = shingles(span_hashes(low, s, e) if len(s) else np.zeros(0, np.uint64), owners(c, s), c.n, SHINGLE)
+        cut = np.searchsorted(own, np.arange(c.n + 1))
+        out += [np.unique(h[a:b] >> np.uint64(1))[:SKETCH].astype(np.int64).tolist() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    return out
+
+
+_SEEN = "host string, slot string, role string, again boolean, lo bigint, hi bigint, first array<bigint>, last array<bigint>, chars bigint, linked bigint, whole bigint"
 
-    ``page`` is a hash of all texts but those that are not content by their elements,
-    so copies of a page are one; of each slot a batch names its ``CONSTANT_PAGES``
-    smallest, which tells whether there are so many.
-    """
+
+def _texts(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """Of every slot of the wrappers, in partial sums: its role, whether its unit repeats, the smallest and largest
+    hash of its text, the smallest and largest sketch of the pages that have it, and characters of
+    its texts, of links in them, and of the whole pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matchers()
-        for b in batches:
+        for b in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             texts: dict[tuple[str, str], list] = {}
             wrapper = b.column("wrapper").dictionary_encode()
             words = wrapper.dictionary.to_pylist()
-            for host, page, code in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), wrapper.indices.to_pylist(), strict=True):
-                if not page or code is None:
+            streams = [slots(page) for page in b.column("html").to_pylist()]
+            sketches = _page_sketches([" ".join(f[2] for f in found if f[1] != "x") for found in streams])
+            for host, found, sketch, code in zip(b.column("host").to_pylist(), streams, sketches, wrapper.indices.to_pylist(), strict=True):
+                if not found or code is None:
                     continue
-                found = slots(page)
-                own: dict[str, int] = {}
-                for slot, (_, r, t) in zip(matcher(words[code])(tuple(f"{r}:{p}" for p, r, _ in found)), found, strict=True):
-                    if slot is not None and r != "x":
-                        own[slot] = zlib.crc32(t.encode("utf-8", "replace") + b"\n", own.get(slot, 0))
-                whole = "\x00".join(x for p, r, t in found if r != "x" for x in (r, p, t))
-                key = int.from_bytes(hashlib.blake2b(whole.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-                for slot, h in own.items():
-                    v = texts.setdefault((host, slot), [set(), h, h])
-                    v[0].add(key)
-                    if len(v[0]) > CONSTANT_PAGES:
-                        v[0].remove(max(v[0]))
-                    v[1], v[2] = min(v[1], h), max(v[2], h)
-            rows = [(*k, x, v[1], v[2]) for k, v in texts.items() for x in sorted(v[0])]
-            kinds = [pa.string()] * 2 + [pa.int64()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], ["host", "slot", "page", "lo", "hi"])
+                match = matcher(words[code])
+                own: dict[str, list] = {}
+                whole = sum(len(f[2]) for f in found if f[1] != "x")
+                for slot, (_, role, text, linked) in zip(match(stream_of(found)), found, strict=True):
+                    if slot is not None and role != "x":
+                        v = own.setdefault(slot, [role, 0, 0, 0])
+                        v[1] = zlib.crc32(text.encode("utf-8", "replace") + b"\n", v[1])
+                        v[2], v[3] = v[2] + len(text), v[3] + linked
+                for slot, (role, h, chars, linked) in own.items():
+                    again = match.wrapper[int(slot.split(":")[0])][2]
+                    v = texts.setdefault((host, slot), [role, again, h, h, sketch, sketch, 0, 0, 0])
+                    v[2], v[3], v[4], v[5] = min(v[2], h), max(v[3], h), min(v[4], sketch), max(v[5], sketch)
+                    v[6], v[7], v[8] = v[6] + chars, v[7] + linked, v[8] + whole
+            rows = [(*k, *v) for k, v in texts.items()]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], [x.split()[0] for x in _SEEN.split(", ")])
 
     rows = _with_wrappers(pages.select("page_id", "url", text_or_empty(F.col("html")).alias("html")), wrappers.select("host", "wrapper"))
-    return rows.select("host", "html", "wrapper").mapInArrow(run, "host string, slot string, page bigint, lo bigint, hi bigint")
+    return rows.select("host", "html", "wrapper").mapInArrow(run, _SEEN)
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, pages, wrapper (JSON units), template (unit:name of fixed text) of every host."""
+    """host, pages, wrapper (JSON units), template (unit:name of the slots that are no content) of every host."""
     streams = _streams(pages).groupBy("host", "name").agg(F.sum("pages").alias("pages"))
 
     def merge(group: pa.Table) -> pa.Table:
         return pa.table({"host": group["host"][:1], "name": pa.array([merge_streams(group["name"].to_pylist())]), "pages": pa.array([sum(group["pages"].to_pylist())], pa.int64())})
 
-    sliced = streams.withColumn("slice", F.pmod(F.xxhash64("name"), F.lit(SLICES))).select("host", "slice", "name", "pages")
-    partial = sliced.groupBy("host", "slice").applyInArrow(merge, "host string, name string, pages bigint")
-    whole = stored(partial.groupBy("host").applyInArrow(merge, "host string, name string, pages bigint").select("host", "pages", F.col("name").alias("wrapper")), "wrapper-streams")
-    seen = _texts(pages, whole).groupBy("host", "slot", "page").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    texts = seen.groupBy("host", "slot").agg(F.count(F.lit(1)).alias("pages"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    # pages that differ although this text is the same on all of them differ in their other texts
-    fixed = texts.where(f"lo = hi and pages >= {CONSTANT_PAGES}").groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("template"))
+    for slices in LEVELS:
+        sliced = streams.withColumn("slice", F.pmod(F.xxhash64("name"), F.lit(slices))).select("host", "slice", "name", "pages")
+        streams = sliced.groupBy("host", "slice").applyInArrow(merge, "host string, name string, pages bigint")
+    whole = stored(streams.select("host", "pages", F.col("name").alias("wrapper")), "wrapper-streams")
+    sums = [F.sum(c).alias(c) for c in ("chars", "linked", "whole")]
+    seen = _texts(pages, whole).groupBy("host", "slot").agg(F.first("role").alias("role"), F.first("again").alias("again"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("first").alias("first"), F.max("last").alias("last"), *sums)
+    union = F.slice(F.array_sort(F.array_union("first", "last")), 1, SKETCH)
+    alike = F.size(F.array_intersect(F.array_intersect("first", "last"), union)) >= COPIES * F.size(union)
+    constant = (F.col("lo") == F.col("hi")) & ~alike & (F.col("chars") < TEMPLATE_SHARE * F.col("whole"))
+    menu = F.col("again") & F.col("role").isin("o", "c") & (F.col("linked") >= LINK_SHARE * F.col("chars"))
+    fixed = seen.where(constant | menu).groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("template"))
     return whole.join(fixed, "host", "left").select("host", "pages", "wrapper", F.coalesce("template", F.array().cast("array<string>")).alias("template"))
 
 
 def page_text(page: str, match: Matcher | None, template: frozenset[str]) -> str:
-    """The main text: what is no template of the article, else of main, of an element named as content, or the rest."""
+    """The main text: what is no template of the article, else of main, of an element named as content, or the rest;
+    where the wrapper leaves nothing, all of the first of these."""
     found = slots(page)
-    units = match(tuple(f"{r}:{p}" for p, r, _ in found)) if match and template else [None] * len(found)
-    kept = [(r, t) for (_, r, t), unit in zip(found, units, strict=True) if unit is None or unit not in template]
-    for role in ("a", "m", "c", "o"):
-        if texts := [t for r, t in kept if r == role]:
-            return " ".join(texts)
+    units = match(stream_of(found)) if match and template else [None] * len(found)
+    for least in (True, False):
+        for role in ("a", "m", "c", "o"):
+            if texts := [f[2] for f, unit in zip(found, units, strict=True) if f[1] == role and not (least and unit is not None and unit in template)]:
+                return " ".join(texts)
     return ""
 
 

@@ -217,11 +217,11 @@ def test_alignment():
 
 
 def test_pages_are_matched_against_the_wrapper(spark):
-    rows = [(i, "http://a.example/", f"<body><div>Motto</div><article><div>Share it</div><h2>Summary</h2><h1>Head {i}</h1>{'<ul><li>x</li></ul>' * (i % 2)}<p>Body {i}</p><p>more</p></article></body>") for i in range(8)]
+    rows = [(i, "http://a.example/", f"<body><div>Motto</div><article><div>Share it</div><h2>Summary</h2><h1>Head {i}</h1>{f'<ul><li>x{i}</li></ul>' * (i % 2)}<p>Body {i}</p><p>more</p></article></body>") for i in range(8)]
     rows += [(i, "http://b.example/", f"<body><div>Motto</div><h1>Head {i}</h1><div>Body {i}</div></body>") for i in range(8, 16)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in wrappers.extract(pages, wrappers.infer_wrappers(pages)).collect()}
-    assert got == {i: f"Head {i}{' x' * (i % 2)} Body {i} more" if i < 8 else f"Head {i} Body {i}" for i in range(16)}
+    assert got == {i: f"Head {i}{f' x{i}' * (i % 2)} Body {i} more" if i < 8 else f"Head {i} Body {i}" for i in range(16)}
 
 
 @pytest.mark.parametrize("copies", [4, 5, 9])
@@ -234,6 +234,58 @@ def test_copies_of_a_page_are_one_page(spark, copies):
     assert got == {i: "Own text of this page" for i in range(copies)} | {100 + i: f"Body {i}" for i in range(6)}
 
 
+def main_texts(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in wrappers.extract(pages, wrappers.infer_wrappers(pages)).collect()}
+
+
+def test_the_wrapper_of_the_host_decides(spark):
+    """One page on two hosts: where the others of a host have the same note it is template."""
+    page = "<body><div>Free delivery this week</div><p>The heron stood in the shallow water and waited for the morning to begin</p></body>"
+    rows = [(0, "http://one.example/", page), (1, "http://two.example/", page)]
+    bodies = ["A ship came into the harbour with grain from the south coast", "Nobody had seen the old miller since the first snow of that winter", "Seven bridges cross the river between the castle and the sea"]
+    rows += [(10 + i, "http://one.example/", f"<body><div>Free delivery this week</div><p>{b}</p></body>") for i, b in enumerate(bodies)]
+    rows += [(20 + i, "http://two.example/", f"<body><div>{b.upper()}</div><p>{b}</p></body>") for i, b in enumerate(bodies)]
+    got = main_texts(spark, rows)
+    story = "The heron stood in the shallow water and waited for the morning to begin"
+    assert got[0] == story and got[1] == f"Free delivery this week {story}"
+
+
+def test_a_repeated_group_of_links_is_a_menu(spark):
+    """No names of classes or telling elements: the wrapper's repeated group of links is no text, other groups are."""
+    rows, want = [], {}
+    for i in range(6):
+        menu = "".join(f"<div><a href='/{k}'>Place {i} {k}</a></div>" for k in range(3 + i % 3))
+        body = "".join(f"<section>Part {k} of the story {i} has <a href='/x'>a link</a> inside</section>" for k in range(2 + i % 2))
+        rows.append((i, "http://plain.example/", f"<body><table><tr><td>{menu}</td><td>{body}</td></tr></table></body>"))
+        want[i] = " ".join(f"Part {k} of the story {i} has a link inside" for k in range(2 + i % 2))
+    assert main_texts(spark, rows) == want
+
+
+def test_near_copies_are_no_evidence(spark):
+    """A heading that only copies and near copies of one page share stays."""
+    words = [f"word{k}" for k in range(120)]
+    rows = [(i, "http://c.example/", f"<body><h1>One heading here</h1><p>{' '.join([*words[:20 * i], f'changed{i}', *words[20 * i + 1 :]])}</p></body>") for i in range(5)]
+    assert all(text.startswith("One heading here word" if i else "One heading here changed0") for i, text in main_texts(spark, rows).items())
+
+
+def test_attributes_and_nesting():
+    assert wrappers.page_text("<article><p title=it's>one</p><p>two</p><p>it's three</p></article>", None, frozenset()) == "one two it's three"
+    assert wrappers.page_text("<article><div class=site-ad-free>a</div><div class=alert-level>b</div><p data-class=ad>c</p><div class='ad-slot'>no</div><div id='x menu'>no</div></article>", None, frozenset()) == "a b c"
+    assert wrappers.page_text("<p title='a > b' x=\"<i>\">one</p>two", None, frozenset()) == "one two"
+    deep = wrappers.slots("<div>x" * 3000 + "</b></p></section>" * 3000 + "y")
+    assert len(deep) == 3001 and len({s[0] for s in deep}) == 3000
+
+
+def test_repetitions_of_any_length():
+    assert wrappers.expression(wrappers.collapse(list("x" + "abcdefghijklm" * 3 + "y"))) == "(<x>#) (" + " ".join(f"<{c}>#" for c in "abcdefghijklm") + ")+ (<y>#)"
+    for seed in range(30):  # every slot keeps its place
+        rng = random.Random(seed)
+        stream = [rng.choice("ab") for _ in range(rng.randrange(1, 40))]
+        seen = [(at, name) for unit, _, _, where in wrappers.placed(stream) for name, places in zip(unit, where, strict=True) for at in places]
+        assert sorted(seen) == list(enumerate(stream))
+
+
 def test_places_in_a_wrapper():
     match = wrappers.Matcher(wrappers.merge_streams([wrappers.json.dumps(wrappers.collapse(list(s))) for s in ("abbc", "axbc", "abxyxyc")]))
     for s in ("abbc", "axbc", "abxyxyc"):
