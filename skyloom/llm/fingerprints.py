@@ -7,11 +7,16 @@ unequal texts can be compared, and the fingerprint of a union is the union of
 the fingerprints.  Likeness is the estimated containment of the smaller in the
 larger.
 
+The next document is found among narrow rows (id, hash of the text), sorted in
+ranges of even size; texts only move by hash, each once as a whole and once as
+the part that the document before it needs, so no task grows with the table.
+
 Words are split at ASCII white space as written.  Edge cases: a text of one to
 four words has the whole sequence as its shingle; a null, empty or white-space
 text has an empty fingerprint, like 1 to another empty one and 0 to any other;
-repeated rows and ties of doc_id follow each other in order of the text; a null
-doc_id comes last; a single row is its own next document; an empty table gives
+ids are ordered as their own type orders them; rows of one id, or without id
+(which come last), follow each other in order of a hash of the text; rows equal in both are one
+key with copies, each copy the next of the one before; a single row is its own next document; an empty table gives
 an empty result.
 """
 
@@ -20,14 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import bind, table, text_or_empty
+from .runtime import bind, partitions_for, stored, table, text_or_empty
 
 WORDS = 5
 #: One of so many hashes is kept.
 SCALE = 8
-#: Bytes of text that one range of ids holds, on average.
-RANGE_BYTES = 32 << 20
-MAX_RANGES = 10_000
+#: Rows (id and hash) of a sorted range, about.
+RANGE_ROWS = 2_000_000
+KEY = ["id_key", "no_id", "rank"]
 
 
 def sketch(text: Column) -> Column:
@@ -68,31 +73,47 @@ def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lower(F.hex(h))), ",")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next_text: the text of the next row by descending doc_id
-    (of the first one after the last), found within ranges of ids.
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the columns ``KEY``: the id as text, whether it is null, and a hash of the text."""
+    rows = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))
+    return rows.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("rank"))
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Of every key of ``keyed`` rows: its copies, and ``before``: the key before it by descending
+    id (before the first: the last one) with its characters.
 
-    The first row of every range is also dealt to the range before it, so a
-    range needs no other and no window spans the table.
+    Sorted in ranges; the first key of a range takes the last one of the range before it.
+    """
+    narrow = rows.groupBy("doc_id", *KEY).agg(F.count(F.lit(1)).alias("copies"), F.max(F.char_length("text")).alias("chars"))
+    narrow = stored(narrow, "neighbour-keys")
+    order = [F.col("doc_id").desc_nulls_last(), F.col("rank")]
+    width = max(partitions_for(rows.sparkSession), narrow.count() // RANGE_ROWS)
+    ranged = narrow.repartitionByRange(width, *order).sortWithinPartitions(*order)
+    placed = stored(ranged.select(*KEY, "copies", "chars", F.monotonically_increasing_id().alias("place")), "neighbour-places")
+    placed = placed.withColumn("range", F.shiftright("place", 33)).withColumn("self", F.struct(*KEY, "chars"))
+    lasts = placed.groupBy("range").agg(F.max_by("self", "place").alias("last"))
+    # one row for each range
+    final = F.last("last").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    lasts = lasts.select("range", F.coalesce(F.lag("last").over(Window.orderBy("range")), final).alias("outer"))
+    inner = F.lag("self").over(Window.partitionBy("range").orderBy("place"))
+    return placed.withColumn("inner", inner).join(F.broadcast(lasts), "range").select(*KEY, "copies", F.coalesce("inner", "outer").alias("before"))
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text, fingerprint, and of the next row by descending doc_id (of the first one after the last)
+    ``part``: its first floor(n_chars / 2) code points, n_chars being this text's, and ``following``: its fingerprint; ``times``: rows of this kind.
     """
-    rows = docs.select("doc_id", text_or_empty(F.col("text")).alias("text")).withColumn("order_id", F.coalesce(-F.col("doc_id").cast("double"), F.lit(float("inf"))))
-    facts = docs.select(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    n_ranges = int(min(MAX_RANGES, max(1, (facts["b"] or 0) // RANGE_BYTES + 1)))
-    cuts = [] if n_ranges == 1 else sorted(set(rows.where(F.col("doc_id").isNotNull()).select("order_id").approxQuantile("order_id", [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges)))
-    # the range of a row: how many cuts are at or before it
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>"), lambda c: c <= F.col("order_id")))
-    rows = rows.withColumn("rank_text", F.xxhash64("text")).withColumn("range", at)
-    firsts = rows.groupBy("range").agg(F.min(F.struct("order_id", "rank_text")).alias("first"))
-    before = Window.orderBy("range")  # one row for each range
-    firsts = firsts.select("range", "first", F.coalesce(F.lag("range").over(before), F.lit(-1)).alias("owner"), F.max("range").over(Window.partitionBy()).alias("final"))
-    firsts = firsts.select("range", F.col("first.order_id").alias("f_order"), F.col("first.rank_text").alias("f_text"), F.when(F.col("owner") < 0, F.col("final")).otherwise(F.col("owner")).alias("owner"))
-    # at most MAX_RANGES rows
-    marked = rows.join(F.broadcast(firsts), "range")
-    first = (F.col("order_id") == F.col("f_order")) & (F.col("rank_text") == F.col("f_text"))
-    ghosts = marked.where(first).select("doc_id", "text", "order_id", "rank_text", F.col("owner").alias("range"), F.col("range").alias("from")).groupBy("from", "range").agg(F.first("text").alias("text")).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.lit(None).cast("double").alias("order_id"), F.lit(None).cast("long").alias("rank_text"), "range", F.lit(True).alias("ghost"))
-    both = rows.withColumn("ghost", F.lit(False)).select("doc_id", "text", "order_id", "rank_text", "range", "ghost").unionByName(ghosts)
-    order = Window.partitionBy("range").orderBy("ghost", "order_id", "rank_text")
-    return both.withColumn("next_text", F.lead("text").over(order)).where(~F.col("ghost")).select("doc_id", "text", "next_text")
+    rows = keyed(docs)
+    texts = rows.withColumn("own", sketch(F.col("text"))).groupBy(*KEY).agg(*[F.first(c).alias(c) for c in ("doc_id", "text", "own")])
+    known = stored(texts.join(neighbours(rows), KEY), "neighbour-texts")
+    needed = F.floor(F.col("before.chars") / 2).cast("int")
+    answers = known.select(*[F.col(f"before.{c}").alias(c) for c in KEY], F.substring("text", F.lit(1), needed).alias("part"), F.col("own").alias("following"))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    after = F.struct("part", "following", F.lit(1).cast("bigint").alias("times"))
+    same = F.struct(F.substring("text", F.lit(1), half).alias("part"), F.col("own").alias("following"), (F.col("copies") - 1).alias("times"))
+    kinds = F.explode(F.when(F.col("copies") == 1, F.array(after)).otherwise(F.array(after, same)))
+    return known.drop("before").join(answers, KEY).select("doc_id", "text", "own", kinds.alias("next")).select("doc_id", "text", "own", "next.*")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -102,12 +123,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def compare_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next one, with likenesses."""
-    rows = with_next(docs)
     n = F.char_length("text").cast("long")
-    half = F.floor(n / 2).cast("int")
-    rows = rows.select("doc_id", n.alias("n_chars"), "text", F.concat(F.substring("text", F.lit(1), (n - half).cast("int")), F.substring("next_text", F.lit(1), half)).alias("edited"), "next_text")
-    made = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("other"), sketch(F.col("next_text")).alias("following"))
-    return made.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"))
+    rows = with_next(docs).withColumn("n_chars", n)
+    kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int"))
+    rows = rows.select("doc_id", "n_chars", "own", "following", "times", F.concat(kept, "part").alias("edited"))
+    made = rows.select("doc_id", "n_chars", "times", F.sha2("edited", 256).alias("edited_sha256"), "own", sketch(F.col("edited")).alias("other"), "following")
+    done = made.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"), "times")
+    return done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).drop("copy", "times")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

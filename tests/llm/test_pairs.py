@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 
 from skyloom.llm import components, decontamination, fingerprints, jaccard, licences
 
@@ -221,6 +222,50 @@ def test_fingerprints(spark):
     assert one.near_next == 1.0
 
 
+def brute_fingerprint(text):
+    """Shingle hashes below an eighth of the range, else the smallest."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+
+    def h(words):
+        x = 42
+        for v in words:
+            x = xxhash.xxh64(v.encode(), seed=x).intdigest()
+        return x & 0x7FFFFFFFFFFFFFFF
+
+    every = {h(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {h([" ".join(w)])} if w else set()
+    below = {x for x in every if x < (1 << 63) // 8}
+    return below or ({min(every)} if every else set())
+
+
+def brute_likeness(a, b):
+    return 1.0 if not a and not b else 0.0 if not a or not b else len(a & b) / min(len(a), len(b))
+
+
+@pytest.mark.parametrize("range_rows", [3, 2_000_000])
+def test_fingerprints_by_brute_force(spark, monkeypatch, range_rows):
+    """Ids beyond 2 ** 53, ties of ids, ids that are null, repeated rows, long texts, several ranges."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", range_rows)
+    rng = random.Random(5)
+
+    def text(n):
+        return " ".join(rng.choice(["ab", "c", "é", "dd"]) + str(rng.randrange(9)) for _ in range(n))
+
+    rows = [((1 << 53) + i, text(rng.randrange(0, 60))) for i in range(12)] + [(i, text(30)) for i in range(8)]
+    rows += [(3, text(12)), (3, text(9)), (None, text(20)), (None, "x"), (None, None), (5, text(4000)), *[(7, "same text of some words here")] * 3, *[(None, "x")] * 2]
+    key = lambda r: (r[0] is None, -(r[0] or 0), (lambda x: x - (1 << 64) if x >> 63 else x)(xxhash.xxh64((r[1] or "").encode(), seed=42).intdigest()))
+    order = [(i, t or "") for i, t in sorted(rows, key=key)]
+    want = collections.Counter()
+    for k, (i, own) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        half = len(own) // 2
+        edited = own[: len(own) - half] + following[:half]
+        f, g, h = map(brute_fingerprint, (own, edited, following))
+        written = [",".join(f"{x:x}" for x in sorted(s)) for s in (f, g)]
+        want[(i, len(own), hashlib.sha256(edited.encode()).hexdigest(), *written, round(brute_likeness(f, g), 9), round(brute_likeness(f, h), 9))] += 1
+    got = collections.Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.compare_edits(table(spark, rows)).collect())
+    assert got == want
+
+
 def test_fingerprint_of_a_union(spark):
     from pyspark.sql import functions as F
 
