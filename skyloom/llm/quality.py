@@ -196,7 +196,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that score at least 0.5, all their columns."""
+    """The documents that score at least 0.5, all their columns and rows.
+
+    Null and empty texts have the score of one empty line, repeated rows the same one; a null id is kept
+    or dropped by its text; a text of any length is read whole; an empty table stays empty.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"), lambda k: ~held_out(k))
     at = docs.columns.index("text")
 

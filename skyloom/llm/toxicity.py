@@ -4,7 +4,7 @@ Tokens are runs of letters and digits, A-Z lower-cased.  Document labels give
 token labels by weak supervision: a word or word beginning that occurs almost
 only in documents labelled toxic marks its tokens there.  A two-state chain is
 trained on those token labels (features: the token's word and beginnings of
-four, five and six bytes, and the same of its two neighbours), forward-backward
+four, five and six bytes, whether other words of the text begin so too, and the same of its two neighbours), forward-backward
 marginals tag tokens, and a logistic layer turns the marginals into a document
 score.  Nothing but the text is an input of a score.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .runtime import crc_mod, table, text_or_empty
-from .textnp import LOWER, WORDY, chunks, code_points, owners, ranges, shingles, span_hashes, spans
+from .textnp import LOWER, WORDY, chunks, code_points, mix, owners, ranges, shingles, span_hashes, spans
 
 #: Bounds of the training sample: labelled rows, and characters of one text.
 MAX_TRAIN_ROWS = 2500
@@ -34,12 +34,14 @@ MAX_TRAIN_CHARS = 30_000
 #: Tokens on which the chain's weights are trained (all toxic texts first).
 MAX_TRAIN_TOKENS = 400_000
 PREFIXES = (4, 5, 6)
-#: A feature marks a token as offending from this many toxic texts, this share
-#: of its texts toxic and this z score of the difference.
-MIN_TEXTS, MIN_SHARE, MIN_Z = 4, 0.9, 4.0
+#: A feature marks a token of a toxic text as offending from this many toxic texts, if it is so many
+#: times as frequent among them as among the others, and from this z score of the difference.
+MIN_TEXTS, MIN_RATIO, MIN_Z = 2, 8.0, 4.0
 #: A weaker association makes a feature of the chain.
-FEATURE_Z = 2.5
+FEATURE_Z = 3.0
 TAG_AT = 0.5
+_OWNER = np.uint64(0xC2B2AE3D27D4EB4F)
+FOLDS = 3
 
 
 @dataclass
@@ -47,21 +49,39 @@ class Tokens:
     starts: np.ndarray
     ends: np.ndarray
     owner: np.ndarray
-    #: (n, 4) hashes: the word, then its beginnings (0: shorter than that)
+    #: (n, 7) hashes: the word, its beginnings (0: shorter than that), and the same
+    #: beginnings if other words of the text begin so too (else 0)
     keys: np.ndarray
 
 
 def _tokens(chunk) -> Tokens:
     low = LOWER[chunk.data]
     starts, ends = spans(low, WORDY)
-    keys = np.zeros((len(starts), 1 + len(PREFIXES)), dtype=np.uint64)
+    keys = np.zeros((len(starts), 1 + 2 * len(PREFIXES)), dtype=np.uint64)
+    owner = owners(chunk, starts)
     cuts = [ends] + [np.minimum(starts + p, ends) for p in PREFIXES]
     flat = span_hashes(low, np.concatenate([starts] * len(cuts)), np.concatenate(cuts)) if len(starts) else np.zeros(0, np.uint64)
     for j in range(len(cuts)):
         keys[:, j] = flat[j * len(starts) : (j + 1) * len(starts)] ^ np.uint64(j)
         if j:
             keys[ends - starts < PREFIXES[j - 1], j] = 0
-    return Tokens(starts, ends, owners(chunk, starts), keys)
+            keys[:, len(PREFIXES) + j] = _of_several_words(keys[:, j], keys[:, 0], owner)
+    return Tokens(starts, ends, owner, keys)
+
+
+def _of_several_words(begin: np.ndarray, word: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Another hash of each beginning that different words of one text share, 0 for the others."""
+    out = np.zeros(len(begin), dtype=np.uint64)
+    at = np.flatnonzero(begin)
+    if len(at):
+        group = mix(begin[at] + owner[at].astype(np.uint64) * _OWNER)
+        order = np.argsort(group)
+        first = np.flatnonzero(np.concatenate(([True], group[order][1:] != group[order][:-1])))
+        words = word[at][order]
+        several = np.minimum.reduceat(words, first) != np.maximum.reduceat(words, first)
+        several = order[np.repeat(several, np.diff(np.append(first, len(at))))]
+        out[at[several]] = mix(begin[at[several]])
+    return out
 
 
 class Lookup:
@@ -94,7 +114,7 @@ class ToxicityModel:
 
 
 def _features(tokens: Tokens, chunk_n: int, lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
-    """Feature ids (n, 6) - own word and beginnings, best of each neighbour - and sequence starts."""
+    """Feature ids (n, 9) - own word and beginnings, best of each neighbour - and sequence starts."""
     n, width = tokens.keys.shape
     own = np.column_stack([lookup(tokens.keys[:, j]) for j in range(width)]) if n else np.zeros((0, width), np.int64)
     start = np.ones(n, dtype=bool)
@@ -122,12 +142,10 @@ def _summary(p: np.ndarray, owner: np.ndarray, n_texts: int) -> np.ndarray:
     return np.column_stack((top, np.log1p(total), np.sqrt(total / np.maximum(count, 1))))
 
 
-def train(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
-    """A model from a bounded sample, on the driver; deterministic."""
-    parts = [(c, _tokens(c)) for c in chunks(texts)]
-    y = np.asarray(toxic, dtype=np.int64)
-    keep, seen = np.ones(len(y), dtype=bool), set()
-    for c, t in parts:  # one of each set of near copies, by two minimum hashes
+def _distinct_texts(parts: list, n: int) -> np.ndarray:
+    """One of each set of near copies, by two minimum hashes."""
+    keep, seen = np.ones(n, dtype=bool), set()
+    for c, t in parts:
         h, own = shingles(t.keys[:, 0], t.owner, c.n, 5)
         for i in range(c.n):
             mine = h[np.searchsorted(own, i) : np.searchsorted(own, i, side="right")]
@@ -135,10 +153,15 @@ def train(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
                 marks = {int(mine.min()), int((mine ^ np.uint64(0x5555555555555555)).min()) ^ 1}
                 keep[c.first + i] = not (marks & seen)
                 seen |= marks
+    return keep
+
+
+def _text_keys(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Every key once for each text that has it: text, key."""
     doc, key = [], []
     for c, t in parts:
         for j in range(t.keys.shape[1]):
-            ok = (t.keys[:, j] != 0) & keep[c.first + t.owner]
+            ok = t.keys[:, j] != 0
             own, k = t.owner[ok], t.keys[ok, j]
             order = np.lexsort((k, own))
             own, k = own[order], k[order]
@@ -146,44 +169,67 @@ def train(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
             new[1:] = (own[1:] != own[:-1]) | (k[1:] != k[:-1])
             doc.append((own[new] + c.first).astype(np.int32))
             key.append(k[new])
-    doc = np.concatenate(doc) if doc else np.zeros(0, np.int32)
-    key = np.concatenate(key) if key else np.zeros(0, np.uint64)
-    names, at = np.unique(key, return_inverse=True)
-    n1 = np.bincount(at, weights=y[doc], minlength=len(names))
-    n0 = np.bincount(at, minlength=len(names)) - n1
-    del doc, key, at
-    big1, big0 = max(1, int((y * keep).sum())), max(1, int(((1 - y) * keep).sum()))
+    return (np.concatenate(doc), np.concatenate(key)) if doc else (np.zeros(0, np.int32), np.zeros(0, np.uint64))
+
+
+def _fit_chain(parts: list, y: np.ndarray, use: np.ndarray, named: tuple[np.ndarray, np.ndarray, np.ndarray], keep: np.ndarray) -> tuple[Lookup, crf.Model]:
+    """Features and chain from the texts ``use``; ``named``: the keys, and text and key number of every occurrence."""
+    names, doc, at = named
+    counted = (use & keep)[doc]
+    n1 = np.bincount(at[counted], weights=y[doc[counted]], minlength=len(names))
+    n0 = np.bincount(at[counted], minlength=len(names)) - n1
+    big1, big0 = max(1, int((y * use * keep).sum())), max(1, int(((1 - y) * use * keep).sum()))
     p = (n1 + n0) / (big1 + big0)
     z = (n1 / big1 - n0 / big0) / np.sqrt(p * (1 - p) * (1 / big1 + 1 / big0) + 1e-12)
     feature = (z >= FEATURE_Z) & (n1 >= 2)
     names, n1, n0, z = names[feature], n1[feature], n0[feature], z[feature]
-    offending = Lookup(names[(z >= MIN_Z) & (n1 >= MIN_TEXTS) & (n1 >= MIN_SHARE * (n1 + n0))])
+    offending = Lookup(names[(z >= MIN_Z) & (n1 >= MIN_TEXTS) & (n1 * big0 >= MIN_RATIO * n0 * big1)])
     lookup = Lookup(names)
-    blocks, labels, starts = [], [], []
+    blocks, labels, starts, toxic = [], [], [], []
     for c, t in parts:
         features, start = _features(t, c.n, lookup)
         bad = np.zeros(len(start), dtype=bool)
         for j in range(t.keys.shape[1]):
             bad |= offending(t.keys[:, j]) >= 0
-        blocks.append(features.astype(np.int32))
-        labels.append(bad & (y[c.first + t.owner] == 1))
-        starts.append(start)
-    if not blocks or not sum(map(len, blocks)):
-        return ToxicityModel(lookup, crf.train(np.zeros((0, 6), np.int64), np.zeros(0), np.zeros(0, bool), 3 * len(names)), _layer(np.zeros((len(y), 3)), y))
+        used = use[c.first + t.owner]
+        blocks.append(features[used].astype(np.int32))
+        labels.append((bad & (y[c.first + t.owner] == 1))[used])
+        starts.append(start[used])
+        toxic.append((y[c.first + t.owner] == 1)[used])
+    if not sum(map(len, blocks)):
+        return lookup, crf.train(np.zeros((0, 1), np.int64), np.zeros(0), np.zeros(0, bool), 3 * len(names))
     # all toxic texts and as many of the others, interleaved, up to a bound of tokens
-    begin = np.flatnonzero(np.concatenate(starts))
-    size = np.diff(np.append(begin, sum(map(len, blocks))))
-    toxic_seq = y[np.concatenate([c.first + t.owner for c, t in parts])[begin]] == 1
+    start = np.concatenate(starts)
+    begin = np.flatnonzero(start)
+    size = np.diff(np.append(begin, len(start)))
+    toxic_seq = np.concatenate(toxic)[begin]
     rank = np.where(toxic_seq, np.cumsum(toxic_seq), np.cumsum(~toxic_seq)) * 2 + ~toxic_seq
     order = np.argsort(rank, kind="stable")
     order = order[rank[order] <= 2 * max(50, int(toxic_seq.sum())) + 1]
     order = order[np.cumsum(size[order]) - size[order] < MAX_TRAIN_TOKENS]
     pick = ranges(begin[order], size[order])
-    chain = crf.train(np.concatenate(blocks)[pick], np.concatenate(labels)[pick], np.concatenate(starts)[pick], 3 * len(names))
-    summary = np.zeros((len(y), 3))
-    for c, t in parts:
-        summary[c.first : c.first + c.n] = _summary(_tag(t, c.n, lookup, chain), t.owner, c.n)
-    return ToxicityModel(lookup, chain, _layer(summary, y))
+    return lookup, crf.train(np.concatenate(blocks)[pick], np.concatenate(labels)[pick], start[pick], 3 * len(names))
+
+
+def train(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
+    """A model from a bounded sample, on the driver; deterministic.
+
+    The layer learns from summaries of texts that the chain has not seen: of ``FOLDS``
+    parts each is summarised by a chain of the others.
+    """
+    parts = [(c, _tokens(c)) for c in chunks(texts)]
+    y = np.asarray(toxic, dtype=np.int64)
+    keep, (doc, key) = _distinct_texts(parts, len(y)), _text_keys(parts)
+    names, at = np.unique(key, return_inverse=True)
+    del key
+    named = (names, doc, at)
+    summary, fold = np.zeros((len(y), 3)), np.arange(len(y)) % FOLDS
+    for f in range(FOLDS):
+        lookup, chain = _fit_chain(parts, y, fold != f, named, keep)
+        for c, t in parts:
+            mine = np.flatnonzero(fold[c.first : c.first + c.n] == f)
+            summary[c.first + mine] = _summary(_tag(t, c.n, lookup, chain), t.owner, c.n)[mine]
+    return ToxicityModel(*_fit_chain(parts, y, np.ones(len(y), dtype=bool), named, keep), _layer(summary, y))
 
 
 def _layer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -266,11 +312,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("toxicity").alias("score"),
         F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"),
         F.size("spans").alias("n_spans"),
+        "spans",
     )
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that score below 0.5, all their columns."""
+    """The documents that score below 0.5, all their columns and rows.
+
+    Null and empty texts have the score of a text without tokens, repeated rows the same one; a null id is kept
+    or dropped by its text; a text of any length is read whole; an empty table stays empty.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"), lambda k: ~held_out(k))
     names = docs.columns
     schema = docs.schema

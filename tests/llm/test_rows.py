@@ -6,6 +6,7 @@ import base64
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -80,6 +81,105 @@ def test_toxicity_of_held_out_rows(spark):
     assert {"idiot", "scum", "trash"} <= words and "the" not in words
 
 
+@pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])
+def test_recall_and_precision_of_held_out_rows(spark, module, label):
+    """At the largest of the small scales; about one in twenty toxic labels there is of a text without any offending word."""
+    query = {quality: quality.op1_quality, toxicity: toxicity.op10_toxicity}[module]
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where(f"{label} is not null").select("doc_id", F.col(label).alias("y"))
+    rows = query(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out").select("predicted", "y").collect()
+    hit = sum(r.predicted and r.y for r in rows)
+    assert hit >= 0.9 * sum(r.y for r in rows) and hit >= 0.95 * sum(r.predicted for r in rows)
+
+
+def plain_chain(score, trans, init):
+    """P(state 1) of every step of one sequence by sums in plain floats."""
+    e = [(1.0, float(np.exp(s))) for s in score]
+    fore, back = [(np.exp(init[0]) * e[0][0], np.exp(init[1]) * e[0][1])], [(1.0, 1.0)]
+    for x in e[1:]:
+        v = [sum(fore[-1][i] * np.exp(trans[i][j]) for i in (0, 1)) * x[j] for j in (0, 1)]
+        fore.append((v[0] / sum(v), v[1] / sum(v)))
+    for x in e[:0:-1]:
+        v = [sum(np.exp(trans[i][j]) * x[j] * back[-1][j] for j in (0, 1)) for i in (0, 1)]
+        back.append((v[0] / sum(v), v[1] / sum(v)))
+    return [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(fore, back[::-1], strict=True)]
+
+
+def test_toxicity_score_by_brute_force():
+    """Words, beginnings, neighbours, marginals, summary and layer again, one token after the other."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["idiot", "scum", "fine", "day", "achlich" + rng.choice("abcd"), "gut", "x1", "été"]) for _ in range(40)) + " ".join(["", *["moron trash"] * (k % 2)]) for k in range(80)]
+    model = toxicity.train(pa.array(texts), np.array([k % 2 for k in range(80)]))
+    probe = [*texts[:6], "", "Scum of the IDIOT day", "achlichx achlichy", "9"]
+    size, known = len(model.lookup.keys), dict(zip(model.lookup.keys.tolist(), model.lookup.ids.tolist(), strict=True))
+    assert size
+    for text, got in zip(probe, toxicity.score_texts(pa.array(probe), model)[0], strict=True):
+        words = [w.encode() for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in text))]
+        own = []
+        for w in words:
+            flat = np.frombuffer(w, np.uint8)
+            hashed = lambda n, flat=flat: toxicity.span_hashes(flat, np.array([0]), np.array([n]))
+            keys = [(hashed(len(w)) ^ np.uint64(0))[0]]
+            begins = [(hashed(p) ^ np.uint64(j + 1))[0] if len(w) >= p else np.uint64(0) for j, p in enumerate(toxicity.PREFIXES)]
+            several = [p <= len(w) and len({v for v in words if v[:p] == w[:p] and len(v) >= p}) > 1 for p in toxicity.PREFIXES]
+            keys += begins + [toxicity.mix(np.array([b]))[0] if s else np.uint64(0) for b, s in zip(begins, several, strict=True)]
+            own.append([known.get(int(k), -1) if k else -1 for k in keys])
+        weights = model.chain.weights
+        score = []
+        for k, ids in enumerate(own):
+            x = model.chain.bias + sum(weights[i] for i in ids if i >= 0)
+            if k and max(own[k - 1]) >= 0:
+                x += weights[max(own[k - 1]) + size]
+            if k + 1 < len(own) and max(own[k + 1]) >= 0:
+                x += weights[max(own[k + 1]) + 2 * size]
+            score.append(x)
+        p = plain_chain(np.clip(score, -30, 30), model.chain.trans, model.chain.init) if score else []
+        summary = [max(p), np.log1p(sum(p)), np.sqrt(sum(p) / len(p))] if p else [0, 0, 0]
+        assert abs(1 / (1 + np.exp(-(np.dot(summary, model.layer[:3]) + model.layer[3]))) - got) < 1e-6
+
+
+def test_quality_score_by_brute_force():
+    """Neighbouring-line features, marginals, length weights and layer again, one line after the other."""
+    rng = random.Random(2)
+    texts = ["\n".join(rng.choice(["good words in a line.", "BAD!! BAD!!", "x | y | z", "", "1 2 3", "more good words here"]) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    model = quality.train(pa.array(texts), np.array(["BAD" not in t for t in texts]).astype(int))
+    width = quality.SLOTS * quality._BINS
+    for text, got in zip(texts[:15], quality.score_texts(pa.array(texts[:15]), model)[0], strict=True):
+        lines = text.split("\n")
+        # the features of a line alone, but for earlier copies, which the text decides
+        own = next(iter(quality.chunks(pa.array([text]))))
+        mine = quality._lines(own).features[:, : quality.SLOTS]
+        score = []
+        for k in range(len(lines)):
+            x = model.chain.bias + model.chain.weights[mine[k]].sum()
+            if k:
+                x += model.chain.weights[mine[k - 1] + width].sum()
+            if k + 1 < len(lines):
+                x += model.chain.weights[mine[k + 1] + 2 * width].sum()
+            score.append(x)
+        p = plain_chain(score, model.chain.trans, model.chain.init)
+        size = [max(1, len(x.encode())) for x in lines]
+        good = sum(a * b for a, b in zip(p, size, strict=True)) / sum(size)
+        summary = [good, np.log((good + 0.01) / (1.01 - good)), max((1 - a) * b / sum(size) for a, b in zip(p, size, strict=True))]
+        assert abs(1 / (1 + np.exp(-(np.dot(summary, model.layer[:3]) + model.layer[3]))) - got) < 1e-6
+
+
+@pytest.mark.parametrize("module, n, rest", [(quality, 3, 1), (toxicity, 5, 0)])
+def test_held_out_rows(spark, module, n, rest):
+    ids = [*range(40), -7, 1 << 60, None]
+    got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", module.held_out(F.col("doc_id")).alias("h")).collect()
+    assert {r.doc_id: r.h for r in got} == {i: i is not None and zlib.crc32(str(i).encode()) % n == rest for i in ids}
+
+
+def test_nothing_held_out_is_learnt_from(spark):
+    """Labels of held-out rows change no score."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    for module, label in ((quality, "quality"), (toxicity, "toxic")):
+        turned = labels.withColumn(label, F.when(module.held_out(F.col("doc_id")), 1 - F.col(label)).otherwise(F.col(label)))
+        texts = pa.array(["some words of a text.", "idiot scum trash", "AB!! CD!!"])
+        one, two = (module.score_texts(texts, module.fit(docs, x, lambda k, module=module: ~module.held_out(k)))[0] for x in (labels, turned))
+        assert np.array_equal(one, two)
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_models_on_odd_rows(spark, module):
     docs = table(spark, ODD)
