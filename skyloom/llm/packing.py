@@ -10,7 +10,7 @@ found in a tournament tree of bin capacities.
 
 Edge cases: a null or empty text is the end id alone; repeated rows are packed
 each for itself; ties in length keep the order of hash, id and start; an empty
-table gives an empty result.  A null doc_id is kept.
+table gives an empty result.  A null doc_id is kept; groups are drawn by id and text, so rows without id spread too.
 """
 
 from __future__ import annotations
@@ -189,11 +189,12 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens of the cut documents."""
+    """doc_id, start, length, ids_crc32, doc_tokens of the cut documents, and ``draw``: a hash of id and text."""
     source = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))
+    source = source.withColumn("draw", F.xxhash64("doc_id", "text", F.lit("pack")))
     kind = source.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+    names = ["doc_id", "draw", "start", "length", "ids_crc32", "doc_tokens"]
+    schema = f"doc_id {kind}, draw bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -206,7 +207,8 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
                     part = ids[s : s + sequence]
                     row.append(r), start.append(s), length.append(len(part)), crc.append(zlib.crc32(part)), total.append(len(ids))
             ints = [pa.array(x, type=pa.int64()) for x in (start, length, crc, total)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, type=pa.int64())), *ints], names)
+            rows = pa.array(row, type=pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), b.column("draw").take(rows), *ints], names)
 
     return source.mapInArrow(run, schema)
 
@@ -217,7 +219,7 @@ def pack(docs: DataFrame, *, tokenizer_path: str, sequence: int = SEQUENCE, grou
     ``n_docs`` (counted if not given) only sets the number of groups.
     """
     groups = max(1, -(-(docs.count() if n_docs is None else n_docs) // group_docs))
-    cut = pieces(docs, tokenizer_path, sequence).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", F.lit("pack")), F.lit(groups)))
+    cut = pieces(docs, tokenizer_path, sequence).withColumn("pack_group", F.pmod("draw", F.lit(groups))).drop("draw")
     schema = cut.drop("pack_group").schema.simpleString()[len("struct<") : -1] + ",sequence_id:bigint,offset:bigint"
 
     def run(key: tuple, group: pa.Table) -> pa.Table:

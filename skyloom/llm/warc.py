@@ -12,8 +12,8 @@ complete; only names in the index of successful tasks are ever read, so lost
 executors and repeated attempts leave no trace in the result.
 
 Edge cases: a null html is an empty payload (a null url an empty one); rows that
-repeat a page_id and payload are each written, as the same type; a null page_id
-is kept and, being no largest id, is a revisit where a non-null one exists; an
+repeat a page_id and payload are each written, as the same type and under the same
+record id, being the same record; a null page_id is kept and, being no largest id, is a revisit where a non-null one exists; an
 empty table gives no bundle and an empty result.
 """
 
@@ -40,6 +40,8 @@ FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 27
 #: Payloads of fewer bytes are never stored as revisits.
 MIN_REVISIT_BYTES = 0
+#: Compressed bytes that one task reads back, about.
+READ_BYTES = 8 << 20
 #: Copies of a payload are looked up in this many slices.
 SALTS = 16
 
@@ -209,8 +211,9 @@ def write_archives(marked: DataFrame, folder: str, *, date: str = "1970-01-01T00
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """Every record of the bundles that the index names, whole frames at a time."""
-    bundles = index.select("bundle", "frame").distinct()
-    width = partitions_for(index.sparkSession)
+    frames = index.select("bundle", "frame", F.floor(F.col("frame_offset") / READ_BYTES).alias("slice")).distinct()
+    # runs of neighbouring frames of even size, one task for each on average
+    width = max(partitions_for(index.sparkSession), frames.select("bundle", "slice").distinct().count())
     schema = "page_id bigint, url string, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, payload binary"
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
@@ -219,7 +222,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         fs, root = pafs.FileSystem.from_uri(folder)
         opened, stream, frames = None, None, []
         for b in batches:
-            for bundle, frame in sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            for bundle, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if bundle != opened:
                     path = f"{root}/{bundle}"
                     opened, stream = bundle, fs.open_input_file(path)
@@ -235,7 +238,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                     out.append((page_of(fields["warc-record-id"].strip("<>")), fields["warc-target-uri"], fields["warc-type"], size, digest, page_of(fields["warc-refers-to"].strip("<>")) if revisit else None, None if revisit else payload))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return bundles.repartition(width, "bundle", "frame").mapInArrow(run, schema)
+    dealt = frames.repartition(width, "bundle", "slice").sortWithinPartitions("bundle", "frame")
+    return dealt.select("bundle", "frame").mapInArrow(run, schema)
 
 
 def read_record(index_row, folder: str) -> tuple[dict[str, str], bytes]:
