@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,16 +93,104 @@ def is_utm(epsg: int) -> bool:
     return 32601 <= epsg <= 32660 or 32701 <= epsg <= 32760
 
 
+def is_projected(epsg: int) -> bool:
+    """Systems in metres that are known here."""
+    return is_utm(epsg) or epsg in (3857, *ALBERS)
+
+
 def project(lon: float, lat: float, epsg: int) -> tuple[float, float]:
-    """Longitude and latitude to 4326, 3857 or a UTM code; other codes are refused."""
+    """Longitude and latitude to 4326, 3857, 3577, 5070 or a UTM code; other codes are refused."""
+    x, y = transform(np.array([lon], float), np.array([lat], float), 4326, epsg)
+    return float(x[0]), float(y[0])
+
+
+# Centre, standard parallels and flattening's inverse of the Albers systems (a third parallel names the origin).
+ALBERS = {
+    3577: {"lon": 132.0, "lat": 0.0, "first": -18.0, "second": -36.0},
+    5070: {"lon": -96.0, "lat": 23.0, "first": 29.5, "second": 45.5},
+}
+
+
+def _authalic(s: np.ndarray | float):
+    """The q of the equal-area sphere for a sine of latitude."""
+    return (1 - E1**2) * (s / (1 - (E1 * s) ** 2) + np.arctanh(E1 * s) / E1)
+
+
+def _albers(epsg: int) -> tuple[float, float, float, float]:
+    """Central meridian in radians, n, C and the radius at the origin (in semi-axes)."""
+    p = ALBERS[epsg]
+    m = lambda lat: math.cos(math.radians(lat)) / math.sqrt(1 - (E1 * math.sin(math.radians(lat))) ** 2)
+    q = lambda lat: float(_authalic(math.sin(math.radians(lat))))
+    n = (m(p["first"]) ** 2 - m(p["second"]) ** 2) / (q(p["second"]) - q(p["first"]))
+    c = m(p["first"]) ** 2 + n * q(p["first"])
+    return math.radians(p["lon"]), n, c, math.sqrt(c - n * q(p["lat"])) / n
+
+
+def _to_degrees(x: np.ndarray, y: np.ndarray, epsg: int) -> tuple[np.ndarray, np.ndarray]:
+    if epsg == 4326:
+        return x, y
+    if epsg == 3857:
+        return np.degrees(x / A), np.degrees(2 * np.arctan(np.exp(y / A)) - math.pi / 2)
+    if epsg in ALBERS:
+        lon0, n, c, rho0 = _albers(epsg)
+        u, v = x / A, rho0 - y / A
+        sign = math.copysign(1.0, n)
+        q = (c - (u * u + v * v) * n * n) / n
+        s = q / _authalic(1.0)
+        for _ in range(8):  # Newton steps on the sine of latitude
+            s = np.clip(s - (_authalic(s) - q) * (1 - (E1 * s) ** 2) ** 2 / (2 * (1 - E1**2)), -1, 1)
+        return np.degrees(lon0 + np.arctan2(sign * u, sign * v) / n), np.degrees(np.arcsin(s))
+    if is_utm(epsg):
+        xi, eta = (y - (FALSE_NORTHING if epsg > 32700 else 0)) / (K0 * RECTIFYING), (x - FALSE_EASTING) / (K0 * RECTIFYING)
+        p = xi - sum(b * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, b in enumerate(BETA, 1))
+        h = eta - sum(b * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, b in enumerate(BETA, 1))
+        chi = np.arcsin(np.sin(p) / np.cosh(h))
+        lat = chi + sum(d * np.sin(2 * j * chi) for j, d in enumerate(DELTA, 1))
+        return epsg % 100 * 6 - 183 + np.degrees(np.arctan2(np.sinh(h), np.cos(p))), np.degrees(lat)
+    raise ValueError(f"EPSG:{epsg} is not supported; use 4326, 3857, 3577, 5070 or a UTM code")
+
+
+def _from_degrees(lon: np.ndarray, lat: np.ndarray, epsg: int) -> tuple[np.ndarray, np.ndarray]:
     if epsg == 4326:
         return lon, lat
     if epsg == 3857:
-        return A * math.radians(lon), A * math.log(math.tan(math.pi / 4 + math.radians(lat) / 2))
+        return A * np.radians(lon), A * np.log(np.tan(math.pi / 4 + np.radians(lat) / 2))
+    if epsg in ALBERS:
+        lon0, n, c, rho0 = _albers(epsg)
+        rho = np.sqrt(c - n * _authalic(np.sin(np.radians(lat)))) / n
+        theta = n * (np.radians(lon) - lon0)
+        return A * rho * np.sin(theta), A * (rho0 - rho * np.cos(theta))
     if is_utm(epsg):
-        x, y = forward(lon, lat, epsg % 100)
-        return x, y + FALSE_NORTHING if epsg > 32700 else y
-    raise ValueError(f"EPSG:{epsg} is not supported; use 4326, 3857 or a UTM code")
+        lam, s = np.radians(lon - (epsg % 100 * 6 - 183)), np.sin(np.radians(lat))
+        t = np.sinh(np.arctanh(s) - E1 * np.arctanh(E1 * s))
+        xi, eta = np.arctan2(t, np.cos(lam)), np.arctanh(np.sin(lam) / np.sqrt(1 + t * t))
+        east = eta + sum(a * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
+        north = xi + sum(a * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
+        return FALSE_EASTING + K0 * RECTIFYING * east, K0 * RECTIFYING * north + (FALSE_NORTHING if epsg > 32700 else 0)
+    raise ValueError(f"EPSG:{epsg} is not supported; use 4326, 3857, 3577, 5070 or a UTM code")
+
+
+def transform(x: np.ndarray, y: np.ndarray, source: int, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates of one system in another (numpy arrays)."""
+    return (x, y) if source == target else _from_degrees(*_to_degrees(x, y, source), target)
+
+
+def project_ring(ring: list[tuple[float, float]], source: int, target: int, points: int = 21) -> list[tuple[float, float]]:
+    """A ring in another system, with ``points`` more on each edge."""
+    out: list[tuple[float, float]] = []
+    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        at = np.arange(points + 1) / (points + 1)
+        x, y = transform(ax + (bx - ax) * at, ay + (by - ay) * at, source, target)
+        out += list(zip(x.tolist(), y.tolist(), strict=True))
+    return out
+
+
+def crosses_itself(ring: list[tuple[float, float]]) -> bool:
+    """Whether two sides of a ring that are not neighbours meet."""
+    ring = ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
+    sides = list(zip(ring, [*ring[1:], ring[0]], strict=True))
+    n = len(sides)
+    return any(_meet(*sides[i], *sides[j]) for i in range(n) for j in range(i + 2, n) if (j + 1) % n != i)
 
 
 def densify(box: tuple[float, float, float, float], points: int = EDGE_POINTS) -> list[tuple[float, float]]:
@@ -116,11 +205,10 @@ def densify(box: tuple[float, float, float, float], points: int = EDGE_POINTS) -
     return out
 
 
-def project_box(box: tuple[float, float, float, float], epsg: int) -> tuple[float, float, float, float]:
-    """Envelope of a 4326 box in another system, its edges densified."""
-    at = [project(x, y, epsg) for x, y in densify(box)]
-    xs, ys = [p[0] for p in at], [p[1] for p in at]
-    return min(xs), min(ys), max(xs), max(ys)
+def project_box(box: tuple[float, float, float, float], epsg: int, source: int = 4326) -> tuple[float, float, float, float]:
+    """Envelope of a box of one system in another, its edges densified."""
+    x, y = transform(*np.array(densify(box), float).T, source, epsg)
+    return float(x.min()), float(y.min()), float(x.max()), float(y.max())
 
 
 def snap(minx: Column, miny: Column, maxx: Column, maxy: Column, res: float) -> list[Column]:

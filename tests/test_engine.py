@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import json
 
 import numpy as np
@@ -53,6 +54,15 @@ def ok(**more):
         ({"bounds": (10, -95, 11, -94)}, "latitude"),
         ({"bounds": (190, 0, 191, 1)}, "longitude"),
         ({"bounds": (10, 0, 10.00001, 1)}, "at least"),
+        ({"output_crs": 4283}, "geographic CRS"),
+        ({"output_crs": 2154}, "not supported"),
+        ({"input_crs": 27700}, "not supported"),
+        ({"bounds": None, "aoi": ((0, 0), (1, 1), (1, 0), (0, 1))}, "positive area|crosses itself"),
+        ({"bounds": None, "aoi": ((0, 0), (3, 3), (3, 0), (0, 2))}, "crosses itself"),
+        ({"bounds": None, "aoi": ((0, 0), (1, 1))}, "must not be empty"),
+        ({"show_progress": 1}, "show_progress must be a bool"),
+        ({"ocm_batch_size": 0}, "ocm_batch_size must be a positive integer"),
+        ({"ocm_inference_dtype": "int8"}, "Invalid ocm_inference_dtype"),
     ],
 )
 def test_refused(change, words):
@@ -73,6 +83,55 @@ def test_code_ignores_where_it_is_written():
     assert ok(scene_sort_fn=lambda items: items).code() != ok(scene_sort_fn=lambda items: items.limit(1)).code()
 
 
+class Sorter:
+    def __init__(self, limit):
+        self.limit = limit
+
+    def sort(self, items):
+        return items.limit(self.limit)
+
+    def __call__(self, items):
+        return items.limit(self.limit)
+
+
+def test_code_of_callables():
+    def sort(items, *, n=1):
+        return items.limit(n)
+
+    def other(items, *, n=2):
+        return items.limit(n)
+
+    other.__qualname__ = sort.__qualname__
+    code = lambda f: ok(scene_sort_fn=f).code()
+    assert code(Sorter(1).sort) == code(Sorter(1).sort) != code(Sorter(2).sort)
+    assert code(Sorter(1)) == code(Sorter(1)) != code(Sorter(2))
+    assert code(functools.partial(sort, n=3)) == code(functools.partial(sort, n=3)) != code(functools.partial(sort, n=4))
+    assert code(sort) != code(other)
+    nested = [eval(f"lambda items: (lambda x: x.limit({n}))(items)") for n in (1, 1, 2)]
+    assert code(nested[0]) == code(nested[1]) != code(nested[2])
+    with pytest.raises(ValueError, match="cannot be hashed"):
+        code(Sorter(iter([])))
+    loop = Sorter(1)
+    loop.limit = loop
+    with pytest.raises(ValueError, match="contains itself"):
+        code(loop)
+
+
+def test_projections_there_and_back():
+    for epsg, lon, lat, x, y in ((3577, 132.0, 0.0, 0.0, 0.0), (5070, -96.0, 23.0, 0.0, 0.0), (3857, 180.0, 0.0, 20037508.342789244, 0.0), (32631, 3.0, 0.0, 500000.0, 0.0), (3577, 149.1, -35.3, None, None), (5070, -80.2, 35.1, None, None), (32750, 115.9, -31.9, None, None)):
+        at = geo.project(lon, lat, epsg)
+        assert x is None or at == pytest.approx((x, y), abs=1e-3)
+        back = geo.transform(*np.array([at]).T, epsg, 4326)
+        assert (back[0][0], back[1][0]) == pytest.approx((lon, lat), abs=1e-8)
+    # equal areas: a small square keeps its size in the Albers systems
+    for epsg, lon, lat in ((3577, 120.0, -20.0), (5070, -110.0, 45.0)):
+        ring = geo.project_ring([(lon, lat), (lon + 0.01, lat), (lon + 0.01, lat + 0.01), (lon, lat + 0.01)], 4326, epsg)
+        area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)) / 2
+        e2, s = geo.E1**2, [np.sin(np.radians(v)) for v in (lat, lat + 0.01)]
+        q = [v / (2 * (1 - e2 * v * v)) + np.log((1 + geo.E1 * v) / (1 - geo.E1 * v)) / (4 * geo.E1) for v in s]
+        assert area == pytest.approx(geo.A**2 * (1 - e2) * np.radians(0.01) * (q[1] - q[0]), rel=1e-6)
+
+
 def test_dates_and_names(tmp_path):
     assert names.end_date(dt.date(2024, 1, 31), months=1) == dt.date(2024, 2, 29)
     assert [names.safe_token(x) for x in (-1.5, 2.25, "a b")] == ["neg1p5000", "2p2500", "a_b"]
