@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from .runtime import arrow_strings
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _Q = 0xD6E8FEB86659FD93 | 1

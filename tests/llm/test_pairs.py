@@ -109,7 +109,7 @@ def test_a_tree_joined_with_itself_or_another_gives_all_pairs_within_the_bound(m
     want = set()
     for i in range(len(sets)):
         for j in range(i):
-            g = min(len(vec[i]), len(vec[j])) - 1
+            g = min(len(jaccard._counts(x)) for x in (vec[i], vec[j]))
             u, v = (jaccard._fold(jaccard._counts(x), g) for x in (vec[i], vec[j]))
             if comp[i] != comp[j] and np.minimum(u, v).sum() >= jaccard.needed(n[i], n[j]):
                 want.add((j, i))
