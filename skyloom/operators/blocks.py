@@ -68,30 +68,36 @@ def reduce_first(stack: np.ndarray, valid: np.ndarray) -> np.ndarray:
     return np.where(valid.any(axis=0), got, 0)
 
 
+def _ordered(stack: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Values in order, what is not valid last: only places below the count are ever read, so the largest value may mark it."""
+    return np.sort(np.where(valid[:, None], stack, np.uint16(65535)), axis=0)
+
+
 def reduce_percentile(stack: np.ndarray, valid: np.ndarray, q: float) -> np.ndarray:
     """Linear interpolation at a single-precision position, truncated."""
     n = valid.sum(axis=0)
-    top = np.iinfo(np.int64).max
-    ordered = np.sort(np.where(valid[:, None], stack.astype(np.int64), top), axis=0)
+    ordered = _ordered(stack, valid)
     pos = np.float32(q / 100) * np.maximum(n - 1, 0).astype(np.float32)
     lo, hi = np.floor(pos).astype(np.int64), np.ceil(pos).astype(np.int64)
     a = np.take_along_axis(ordered, np.broadcast_to(lo, (1, stack.shape[1], *lo.shape)), axis=0)[0]
     b = np.take_along_axis(ordered, np.broadcast_to(hi, (1, stack.shape[1], *hi.shape)), axis=0)[0]
-    a, b = np.where(n > 0, a, 0), np.where(n > 0, b, 0)
+    a, b = np.where(n > 0, a, 0).astype(np.int64), np.where(n > 0, b, 0).astype(np.int64)
     return np.floor((a + (b - a) * (pos.astype(np.float64) - np.floor(pos))).astype(np.float32)).astype(np.int64)
 
 
 def reduce_medoid(stack: np.ndarray, valid: np.ndarray) -> np.ndarray:
     """The scene nearest the doubled per-band medians, ties to the first."""
     n = valid.sum(axis=0)
-    ordered = np.sort(np.where(valid[:, None], stack.astype(np.int64), np.iinfo(np.int64).max), axis=0)
+    ordered = _ordered(stack, valid)
     shape = (1, stack.shape[1], *n.shape)
     low = np.take_along_axis(ordered, np.broadcast_to(np.maximum(n - 1, 0) // 2, shape), axis=0)[0]
     high = np.take_along_axis(ordered, np.broadcast_to(np.minimum(n // 2, len(stack) - 1), shape), axis=0)[0]
-    target = np.where(n > 0, low + high, 0)
-    far = np.iinfo(np.int64).max
-    distance = np.where(valid, ((2 * stack.astype(np.int64) - target) ** 2).sum(axis=1), far)
-    at = distance.argmin(axis=0)
+    target = np.where(n > 0, low.astype(np.int64) + high, 0)
+    best, at = np.full(n.shape, np.iinfo(np.int64).max), np.zeros(n.shape, np.int64)
+    for i, (scene, ok) in enumerate(zip(stack, valid, strict=True)):  # one scene at a time is widened
+        distance = ((2 * scene.astype(np.int64) - target) ** 2).sum(axis=0)
+        nearer = ok & (distance < best)
+        best[nearer], at[nearer] = distance[nearer], i
     return np.where(n > 0, np.take_along_axis(stack, at[None, None], axis=0)[0], 0)
 
 
@@ -104,20 +110,25 @@ def stop_early(valid: np.ndarray, covered: np.ndarray, least: int) -> np.ndarray
     return valid
 
 
-def mosaic(blocks: DataFrame, bands: int, method: str, *, percentile: float | None = None, max_observations: int | None = None, min_observations: int | None = None) -> DataFrame:
-    """One packed tile (bands, and counts n as uint16) for every tile of the blocks."""
+def mosaic(blocks: DataFrame, bands: int, method: str, *, percentile: float | None = None, max_observations: int | None = None, min_observations: int | None = None, cover: DataFrame | None = None) -> DataFrame:
+    """One packed tile (bands, and counts n as uint16) for every tile of the blocks.
+
+    ``cover`` (r, c, cover: bits of the pixels that count; none: all) restricts pixels.  Scenes after
+    the one that gives every such pixel ``min_observations`` are left out; with both counts only the cap holds.
+    """
     if method not in ("mean", "first", "percentile", "median", "medoid"):
         raise ValueError(f"Invalid mosaic method: {method}. Must be of mean, first, percentile, median, medoid")
-    q = 50.0 if method == "median" else percentile
+    q, whole = 50.0 if method == "median" else percentile, cover is None
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("rank")
         r, c, h, w = (group[x][0].as_py() for x in ("r", "c", "h", "w"))
         parts = [unpack(b, m, bands, h, w) for b, m in zip(group["bands"].to_pylist(), group["mask"].to_pylist(), strict=True)]
         stack, masks = np.stack([p[0] for p in parts]), np.stack([p[1] for p in parts])
-        valid = _valid(stack, masks)
-        if min_observations is not None:
-            valid = stop_early(valid, np.ones((h, w), bool), min_observations)
+        covered = np.ones((h, w), bool) if whole else np.unpackbits(np.frombuffer(group["cover"][0].as_py() or b"", np.uint8), count=h * w).reshape(h, w).view(bool)
+        valid = _valid(stack, masks) & covered
+        if min_observations is not None and max_observations is None and method != "first":
+            valid = stop_early(valid, covered, min_observations)
         if method != "first":
             valid = _cap(valid, max_observations)
         if method == "mean":
@@ -131,6 +142,8 @@ def mosaic(blocks: DataFrame, bands: int, method: str, *, percentile: float | No
         n = valid.any(axis=0).astype(int) if method == "first" else valid.sum(axis=0)
         return pa.table({"r": [r], "c": [c], "h": [h], "w": [w], "bands": pa.array([np.clip(out, 0, 65535).astype("<u2").tobytes()], pa.binary()), "n": pa.array([n.astype("<u2").tobytes()], pa.binary())})
 
+    if cover is not None:
+        blocks = blocks.join(cover, ["r", "c"])
     return blocks.groupBy("r", "c").applyInArrow(run, TILE_SCHEMA)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -91,3 +91,37 @@ def source_blocks(windows: DataFrame, block: int) -> DataFrame:
     cols = F.explode(F.sequence(F.floor(F.col("c") / block), F.floor((F.col("c") + F.col("w") - 1) / block)))
     touched = windows.select("*", rows.alias("br")).select("br", cols.alias("bc")).distinct()
     return touched.agg(F.count(F.lit(1)).alias("blocks"))
+
+
+def meeting_windows(specs: DataFrame, windows: DataFrame, size: int) -> DataFrame:
+    """The tiles (r, c, h, w) with every window (r0, c0, r1, c1, half open, and other columns) that overlaps them.
+
+    Windows are spread to the tile keys that they cover, so the join is on keys.
+    """
+    keys = lambda low, high: F.sequence(F.expr(f"{low} div {size}"), F.expr(f"({high} - 1) div {size}"))
+    spread = windows.where("r0 < r1 and c0 < c1").withColumn("tr", F.explode(keys("r0", "r1"))).withColumn("tc", F.explode(keys("c0", "c1")))
+    placed = specs.withColumn("tr", F.expr(f"r div {size}")).withColumn("tc", F.expr(f"c div {size}"))
+    meets = "r0 < r + h and r1 > r and c0 < c + w and c1 > c"
+    return placed.join(spread, ["tr", "tc"]).where(meets).drop("tr", "tc")
+
+
+def sampled(rows: DataFrame, most: int, order: list[str]) -> DataFrame:
+    """Every n-th row in an order, at most ``most``, the first among them."""
+    total = rows.count()
+    step = max(1, -(-total // most))
+    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1)  # a catalogue: one narrow row a scene
+    return numbered.where(F.col("_n") % step == 0).drop("_n")
+
+
+def sparse_reads_pay(specs: DataFrame, windows: DataFrame, block: int, share: float = 0.75) -> bool:
+    """Whether reading only the given tiles touches less than ``share`` of the source blocks that whole windows touch."""
+    own = windows.select("r0", "c0", "r1", "c1", F.monotonically_increasing_id().alias("_w"))
+    size = specs.agg(F.max("h"), F.max("w")).first()
+    if size[0] is None:
+        return False
+    parts = meeting_windows(specs, own, max(size))
+    inner = parts.select("_w", F.greatest("r", "r0").alias("a"), F.greatest("c", "c0").alias("b"), F.least(F.col("r") + F.col("h"), "r1").alias("y"), F.least(F.col("c") + F.col("w"), "c1").alias("x"))
+    blocks = lambda low, high: F.explode(F.sequence(F.expr(f"{low} div {block}"), F.expr(f"({high} - 1) div {block}")))
+    touched = inner.withColumn("br", blocks("a", "y")).withColumn("bc", blocks("b", "x")).select("_w", "br", "bc").distinct().count()
+    whole = own.agg(F.sum(F.expr(f"((r1 - 1) div {block} - r0 div {block} + 1) * ((c1 - 1) div {block} - c0 div {block} + 1)"))).first()[0] or 0
+    return touched < share * whole

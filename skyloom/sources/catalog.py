@@ -118,11 +118,12 @@ def latest_baseline(scenes: DataFrame, when: str, tile_name: str, baseline: str,
 def ranked(scenes: DataFrame, order: str, *, scene_id: str = "scene_id", good: str = "good", orbit_name: str = "orbit", when: str = "datetime", sort: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The scenes with a rank from 1.
 
+    ``sort`` is called as ``sort(items=scenes)`` and adds the rank itself.
     ``valid_data``: the best scene of each orbit in turn, orbits by their best.
     A catalogue is a few rows for each scene, so one task may order it.
     """
     if sort is not None:
-        return sort(scenes)
+        return sort(items=scenes)
     if order == "valid_data":
         own = Window.partitionBy(orbit_name).orderBy(F.col(good).desc(), scene_id)
         whole = Window.partitionBy(orbit_name)

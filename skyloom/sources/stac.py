@@ -38,6 +38,7 @@ def scenes(items: DataFrame) -> DataFrame:
         F.filter(F.transform(F.map_values("assets"), lambda a: a["proj:transform"]), lambda t: t.isNotNull()).alias("t"),
         "props",
         "geometry",
+        F.transform_values("assets", lambda _, a: a["href"]).alias("hrefs"),
     )
     first = F.get("t", F.lit(0))
     return rows.withColumn("origin_x", F.get(first, F.lit(2))).withColumn("origin_y", F.get(first, F.lit(5))).drop("t")
