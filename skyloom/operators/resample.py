@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -41,14 +42,16 @@ def convolve(grid: DataFrame, source: DataFrame, keys: Sequence[str], scale: flo
     """Weighted taps around the source place of each pixel's centre; weights of
     missing taps are left out and the rest made to sum to one.
 
-    ``scale``: source pixels of one pixel of ``grid``.
+    ``scale``: source pixels of one pixel of ``grid``.  Where that is more than one,
+    the kernel is as many times wider, so that every source pixel has its part.
     """
-    reach = _REACH[method]
+    wide = max(1.0, float(scale))
+    reach = math.ceil(_REACH[method] * wide)
     y, x = (F.col("row") + 0.5) * scale - 0.5, (F.col("col") + 0.5) * scale - 0.5
     taps = F.sequence(F.lit(1 - reach), F.lit(reach))
     spread = grid.withColumn("y", y).withColumn("x", x).withColumn("dr", F.explode(taps)).withColumn("dc", F.explode(taps))
     spread = spread.withColumn("sr", F.floor("y") + F.col("dr")).withColumn("sc", F.floor("x") + F.col("dc"))
-    spread = spread.withColumn("w", _kernel(method, F.col("y") - F.col("sr")) * _kernel(method, F.col("x") - F.col("sc")))
+    spread = spread.withColumn("w", _kernel(method, (F.col("y") - F.col("sr")) / wide) * _kernel(method, (F.col("x") - F.col("sc")) / wide))
     given = source.select(*keys, F.col("row").alias("sr"), F.col("col").alias("sc"), *bands)
     joined = spread.where(F.col("w") != 0).join(given, [*keys, "sr", "sc"])
     return joined.groupBy(*keys, "row", "col").agg(*[(F.sum(F.col("w") * F.col(b)) / F.sum("w")).alias(b) for b in bands])

@@ -6,6 +6,7 @@ equivalent statement.  Views are in ``views``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -301,6 +302,41 @@ def provider_tile_predicate(spark, d):
     return rows.select("s_suppkey", F.regexp_extract("g", r"^(\d+)", 1).cast("int").alias("zone"), F.substring("g", -3, 1).alias("band"), F.substring("g", -2, 2).alias("square"))
 
 
+@query("SELECT s_suppkey FROM supplier WHERE 1 + s_suppkey % 60 = 5 AND s_suppkey % 3 = 0")
+def provider_tile_filter(spark, d):
+    """The items of one tile, by the properties that a provider splits it into."""
+    known = {"mgrs:utm_zone": (1 + F.col("s_suppkey") % 60).cast("string"), "mgrs:latitude_band": F.lit("H"), "mgrs:grid_square": F.when(F.col("s_suppkey") % 3 == 0, "MK").otherwise("MJ")}
+    where = catalog.property_filter(catalog.get_source("AWS").tile_filter("5HMK"), known.__getitem__)
+    return v.table(spark, d, "supplier").where(where).select("s_suppkey")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE 1 + s_suppkey % 60 = 7")
+def source_tile_filter(spark, d):
+    """The same for a provider that has the tile as one property."""
+    tile = F.concat((1 + F.col("s_suppkey") % 60).cast("string"), F.lit("HMK"))
+    where = catalog.property_filter(catalog.get_source("MPC").tile_filter("7HMK"), lambda _: tile)
+    return v.table(spark, d, "supplier").where(where).select("s_suppkey")
+
+
+_WINDOWS = f"""WITH {v.SCENES}, windows AS (SELECT scene_id, CAST(floor(y0) AS BIGINT) AS r0, CAST(floor(x0) AS BIGINT) AS c0, CAST(ceil(y1) AS BIGINT) AS r1, CAST(ceil(x1) AS BIGINT) AS c1 FROM scenes)"""
+
+
+def _scene_windows(spark, d):
+    low, high = (lambda c: F.floor(c)), (lambda c: F.ceil(c))
+    return v.scenes(spark, d).select("scene_id", low("y0").alias("r0"), low("x0").alias("c0"), high("y1").alias("r1"), high("x1").alias("c1"))
+
+
+@query(f"""{_WINDOWS}, specs AS (SELECT r, c, least(8, 45 - r) AS h, least(8, 70 - c) AS w FROM range(0, 45, 8) a(r), range(0, 70, 8) b(c))
+SELECT r, c, scene_id FROM specs JOIN windows ON r0 < r + h AND r1 > r AND c0 < c + w AND c1 > c""")
+def tile_scene_overlap(spark, d):
+    return tiles.meeting_windows(tiles.tile_specs(spark, 45, 70, 8), _scene_windows(spark, d), 8).select("r", "c", "scene_id")
+
+
+@query(f"WITH {v.SCENES}, numbered AS (SELECT scene_id, row_number() OVER (ORDER BY scene_id) - 1 AS n, count(*) OVER () AS total FROM scenes) SELECT scene_id FROM numbered WHERE n % CAST(ceil(total / CAST(5 AS DOUBLE)) AS BIGINT) = 0")
+def sampled_scenes(spark, d):
+    return tiles.sampled(v.scenes(spark, d).select("scene_id"), 5, ["scene_id"])
+
+
 # -- masks and set algebra
 
 
@@ -504,14 +540,42 @@ def resample_bilinear(spark, d):
     return done.select("row", "col", F.round(F.col("b1") * 1000).cast("bigint").alias("b1"))
 
 
-@query()
-def resample_cubic(spark, d):
-    return resample.convolve(_fine(spark, d, 2), _source(spark, d), [], 0.5, "cubic", ["b1"])
+_KERNELS = {
+    "bilinear": (1, "greatest(0, 1 - a)"),
+    "cubic": (2, "CASE WHEN a <= 1 THEN 1.5 * a * a * a - 2.5 * a * a + 1 WHEN a < 2 THEN -0.5 * a * a * a + 2.5 * a * a - 4 * a + 2 ELSE 0 END"),
+    "lanczos": (3, "CASE WHEN a < 1e-12 THEN 1 WHEN a < 3 THEN 3 * sin(pi() * a) * sin(pi() * a / 3) / (pi() * a * pi() * a) ELSE 0 END"),
+}
 
 
-@query()
-def resample_lanczos(spark, d):
-    return resample.convolve(_fine(spark, d, 2), _source(spark, d), [], 0.5, "lanczos", ["b1"])
+def _convolve_sql(method: str, pixels: str, scale: str, wide: int) -> str:
+    reach, kernel = _KERNELS[method]
+    reach *= wide
+    weight = lambda t: "(" + re.sub(r"\ba\b", f"(abs({t}) / CAST({wide} AS DOUBLE))", kernel) + ")"
+    return f"""WITH {_SOURCE}, {v.GRID}, wanted AS ({pixels}),
+spots AS (SELECT row, col, (row + CAST(0.5 AS DOUBLE)) * {scale} - CAST(0.5 AS DOUBLE) AS y, (col + CAST(0.5 AS DOUBLE)) * {scale} - CAST(0.5 AS DOUBLE) AS x FROM wanted),
+taps AS (SELECT row, col, CAST(floor(y) AS BIGINT) + dr AS sr, CAST(floor(x) AS BIGINT) + dc AS sc, y, x FROM spots, range({1 - reach}, {reach + 1}) a(dr), range({1 - reach}, {reach + 1}) b(dc)),
+weighed AS (SELECT t.row, t.col, CAST({weight("y - sr")} * {weight("x - sc")} AS DOUBLE) AS w, b1 FROM taps t JOIN src ON src.row = sr AND src.col = sc)
+SELECT row, col, CAST(round(sum(w * b1) / sum(w) * 1000) AS BIGINT) AS b1 FROM weighed WHERE w <> 0 GROUP BY row, col"""
+
+
+_FINER = "SELECT row * 2 + i AS row, col * 2 + j AS col FROM grid, range(0, 2) a(i), range(0, 2) b(j)"
+_COARSER = "SELECT DISTINCT row // 2 AS row, col // 2 AS col FROM grid"
+
+
+def _convolved(method: str, shrink: bool):
+    def run(spark, d):
+        grid = v.grid(spark, d).select(F.expr("row div 2").alias("row"), F.expr("col div 2").alias("col")).distinct() if shrink else _fine(spark, d, 2)
+        done = resample.convolve(grid, _source(spark, d), [], 2 if shrink else 0.5, method, ["b1"])
+        return done.select("row", "col", F.round(F.col("b1") * 1000).cast("bigint").alias("b1"))
+
+    return run
+
+
+query(_convolve_sql("cubic", _FINER, "CAST(0.5 AS DOUBLE)", 1), "resample_cubic")(_convolved("cubic", False))
+query(_convolve_sql("lanczos", _FINER, "CAST(0.5 AS DOUBLE)", 1), "resample_lanczos")(_convolved("lanczos", False))
+query(_convolve_sql("bilinear", _COARSER, "2", 2), "resample_bilinear_shrink")(_convolved("bilinear", True))
+query(_convolve_sql("cubic", _COARSER, "2", 2), "resample_cubic_shrink")(_convolved("cubic", True))
+query(_convolve_sql("lanczos", _COARSER, "2", 2), "resample_lanczos_shrink")(_convolved("lanczos", True))
 
 
 # -- geometry
@@ -647,3 +711,21 @@ query(SQL["mosaic_percentile_p90"], "blocks_percentile_p90")(_blocks_query("perc
 query(SQL["mosaic_medoid"], "blocks_medoid")(_blocks_query("medoid"))
 query(SQL["mosaic_max_obs_mean"], "blocks_max_obs_mean")(_blocks_query("mean", max_observations=3))
 query(SQL["mosaic_max_obs_median"], "blocks_max_obs_median")(_blocks_query("median", max_observations=3))
+
+
+def _min_obs_blocks(method: str):
+    """The early stop by tiles, of packed tiles of that size; pixels of the grid are covered."""
+
+    def run(spark, d):
+        size = spark.read.parquet(f"{d}/part.parquet").agg(F.max("p_partkey")).first()[0] // v.WIDTH + 1
+        packed = blocks.from_pixels(v.masked(spark, d), B3, TILE, size, v.WIDTH)
+        here = v.grid(spark, d).select(F.lit(0).alias("scene"), F.lit(0).alias("rank"), "row", "col")
+        cover = blocks.from_pixels(here, [], TILE, size, v.WIDTH).select("r", "c", F.col("mask").alias("cover"))
+        done = blocks.to_pixels(blocks.mosaic(packed, 3, method, min_observations=3, cover=cover), B3)
+        return done.select((F.col("row") * v.WIDTH + F.col("col")).alias("px"), *B3, "n")
+
+    return run
+
+
+query(SQL["mosaic_min_obs_tile"], "blocks_min_obs_mean")(_min_obs_blocks("mean"))
+query(SQL["mosaic_min_obs_median"], "blocks_min_obs_median")(_min_obs_blocks("median"))
