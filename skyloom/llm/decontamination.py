@@ -275,7 +275,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that no benchmark item is found in; all columns, null ids included."""
-    keyed = docs.withColumn("__text_key", F.xxhash64("text"))
-    bad = stored(matches(keyed, "__text_key", table(spark, sf_dir, "benchmark")).select(F.col("key").alias("__text_key")).distinct(), "contaminated")
-    return keyed.join(bad, "__text_key", "left_anti").select(*docs.columns)
+    """The documents in which no benchmark item is found; all columns and rows.
+
+    A text decides for all rows that have it, whatever their ids (null ones too).  Null and empty texts
+    stay, a text of any length is read whole, an empty table stays empty, and no column name is reserved.
+    """
+    key = "text_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    bad = stored(matches(keyed, key, table(spark, sf_dir, "benchmark")).select(F.col("key").alias(key)).distinct(), "contaminated")
+    return keyed.join(bad, key, "left_anti").select(*docs.columns)

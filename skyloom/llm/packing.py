@@ -236,4 +236,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences, as ``op3_packing`` gives them.
+
+    Null and empty texts are their end id; repeated rows are packed each for itself; a null id is
+    kept; texts of any length are cut, never shortened; other columns are left out; an empty table has no piece.
+    """
     return pack(docs, tokenizer_path=public_tokenizers.path(TOKENIZER))

@@ -222,6 +222,60 @@ def test_fingerprints(spark):
     assert one.near_next == 1.0
 
 
+QUESTIONS = {
+    1: "A train leaves Boston at 9 and travels 300 km to Denver. If Alice drives at 60 km per hour from the same station, how many hours later does Alice arrive in Denver than the train that travels at 75 km per hour?",
+    2: "Maria has 12 apples and gives 5 of them to Peter. How many apples does Maria have left after she buys 7 more at the market for 3 dollars each?",
+}
+VARIANTS = [
+    (1, {}), (1, {"300": "1,200", "60": "62.5"}), (1, {"Boston": "New York", "Alice": "Mary Ann", "Denver": "San Diego"}), (1, {"Alice": "Zoë", "Denver": "Łódź"}), (1, {"km": "miles"}),
+    (2, {"Maria": "Émilie", "12": "40", "5 of": "15 of", "7 more": "9 more"}), (2, {"Maria": "Anna Lee", "12": "40"}), (2, {"at the market": "at the big old market", "12": "13"}),
+    (2, {"Maria": "Jean Paul", "Peter": "Łukasz", "12": "1,250", "5 of": "3.5 of", "7 more": "19 more", "dollars": "euros"}), (2, {"Maria": "tom", "Peter": "ann"}), (2, {"12": "twelve", "5": "five"}),
+]
+CLEAN = [
+    "The market sells apples and pears every day and many people buy them for a few dollars each, but nobody knows how many are left.",
+    "In 1999 Tom gave 3 books to Ann and 4 books to Bob, and in 2004 Ann gave 2 books to Tom and 7 books to Eve.",
+    "How many hours later does the next train leave? It travels at 75 km per hour, and nobody arrives in time.",
+]
+
+
+def test_questions_with_other_values_are_found(spark):
+    rows, want = [], {}
+    for i, (item, change) in enumerate(VARIANTS):
+        text = QUESTIONS[item]
+        for a, b in change.items():
+            text = text.replace(a, b)
+        rows += [(i, text), (100 + i, "Some words that come before it. " + text + " And some words that follow."), (200 + i, "word " * 30_000 + text)]
+        want |= {k + i: item for k in (0, 100, 200)}
+    rows += [(300 + i, c) for i, c in enumerate(CLEAN)] + [(400, None), (401, ""), (None, QUESTIONS[1]), (0, rows[0][1])]
+    items = spark.createDataFrame([*QUESTIONS.items(), (3, None), (4, "")], "item_id long, text string")
+    got = {(r.key, r.item_id) for r in decontamination.matches(table(spark, rows), "doc_id", items).collect()}
+    assert got == {*want.items(), (None, 1)}
+    assert decontamination.matches(table(spark, []), "doc_id", items).count() == 0
+    assert decontamination.matches(table(spark, rows), "doc_id", items.limit(0)).count() == 0
+
+
+def test_verbatim_items_by_brute_force(spark):
+    """Every text that holds all words of an item in a row, and no text that shares none of its windows."""
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcdefgh") + rng.choice("xyz") + rng.choice(["", "1", "on", "ar"])
+    items = [(k, " ".join(word() for _ in range(rng.choice([6, 9, 20, 60])))) for k in range(12)]
+    rows = []
+    for i in range(60):
+        parts = [" ".join(word() for _ in range(rng.randrange(0, 80))) for _ in range(2)]
+        rows.append((i, f"{parts[0]} {rng.choice(items)[1].upper() if i % 7 == 0 else rng.choice(items)[1] if i % 3 else ''} {parts[1]}"))
+    split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    held = lambda a, b: any(b[k : k + len(a)] == a for k in range(len(b) - len(a) + 1))
+    windows = lambda w: {tuple(w[k : k + 8]) for k in range(len(w) - 7)}
+    got = {(r.key, r.item_id): r for r in decontamination.matches(table(spark, rows), "doc_id", spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, text in rows:
+        for k, item in items:
+            a, b = split(item), split(text)
+            if held(a, b):
+                assert got[i, k].cover == 1.0 and (got[i, k].exact or i % 7 == 0)
+            elif len(a) < 8 or not windows(a) & windows(b):
+                assert (i, k) not in got
+
+
 def brute_fingerprint(text):
     """Shingle hashes below an eighth of the range, else the smallest."""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)

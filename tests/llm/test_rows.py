@@ -236,6 +236,76 @@ def test_odd_shards(spark):
     assert len({r.shard for r in sharding.shard(table(spark, same)).collect()}) == 1
 
 
+def test_splits_by_brute_force(spark):
+    """The shards of a plain recursion: widest dimension, exact weighted median, ties by hash."""
+    rng = random.Random(9)
+    rows = [(i, "\n".join(rng.choice(["ab", "é", "word ", "x" * 30]) * rng.randrange(1, 12) for _ in range(rng.randrange(1, 6)))) for i in range(300)]
+    docs = table(spark, rows)
+    points = sharding.points(docs).collect()
+    whole = {d: max(p[d] for p in points) - min(p[d] for p in points) for d in sharding.DIMENSIONS}
+    want = {}
+
+    def split(members, first, k):
+        if k == 1:
+            want.update({p.doc_id: first for p in members})
+            return
+        spread = {d: max(p[d] for p in members) - min(p[d] for p in members) for d in sharding.DIMENSIONS}
+        d = max(sharding.DIMENSIONS, key=lambda c: (spread[c] / whole[c], c))
+        key = lambda p: (p[d], p.xh)
+        weight = collections.Counter()
+        for p in members:
+            weight[key(p)] += p.size
+        goal, before, left = sum(weight.values()) * (k // 2) / k, 0, set()
+        for x in sorted(weight):
+            if before + weight[x] >= goal:
+                if goal - before >= before + weight[x] - goal:
+                    left.add(x)
+                break
+            left.add(x)
+            before += weight[x]
+        split([p for p in members if key(p) in left], first, k // 2)
+        split([p for p in members if key(p) not in left], first + k // 2, k - k // 2)
+
+    split(points, 0, 8)
+    assert {r.doc_id: r.shard for r in sharding.shard(docs, 8).collect()} == want
+
+
+def test_slots_of_several_deals(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 7)
+    rows = [(i % 90, "text " * (i % 13)) for i in range(200)] + [(None, "no id")] * 30
+    got = sharding.shard(table(spark, rows), 4).collect()
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_on_odd_rows(spark, at):
+    """Nulls, empty and very long texts, ties, repeated rows, columns of clashing names, and no rows at all."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[at]
+    schema = "doc_id long, text string, score string, text_key string, __text_key string, draw string, n int, component_id long"
+    rows = [(*r, "a", "b", "c", "d", 1, 2) for r in [*ODD, (None, "no id"), (8, "A plain text of several words that nobody would object to, and one more sentence.")]]
+    docs = spark.createDataFrame(rows, schema)
+    out = stage(spark, docs, DATA)
+    got = out.collect()
+    if name == "packing":
+        total = {(r.doc_id, r.doc_tokens) for r in got}
+        assert {i for i, _ in total} == {r[0] for r in rows} and (1, 1) in total and (2, 1) in total
+    else:
+        assert out.columns == docs.columns and {tuple(r) for r in got} <= {tuple(r) for r in docs.collect()}
+        kept = collections.Counter((r.doc_id, r.text) for r in got)
+        given = collections.Counter(r[:2] for r in rows)
+        once = name == "near_duplicates"
+        assert all(n == (1 if once and k[0] is not None else given[k]) for k, n in kept.items())
+        if name in ("near_duplicates", "decontamination"):
+            assert set(kept) == set(given)
+    empty = stage(spark, docs.limit(0), DATA)
+    assert empty.count() == 0
+
+
 def test_first_fit_decreasing_by_brute_force():
     rng = np.random.default_rng(5)
     for n in (0, 1, 2, 300):
