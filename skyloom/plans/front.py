@@ -239,7 +239,10 @@ def read_blocks(pairs: DataFrame, make: Callable[[], BlockReader]) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = make()
+        with assets.network_defaults():
+            yield from rows(make(), batches)
+
+    def rows(reader: BlockReader, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [x.split()[0] for x in READ_SCHEMA.split(", ")]
         kinds = [*[pa.int64()] * 6, pa.binary(), pa.binary(), pa.string()]
         try:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import time
 from collections import OrderedDict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, MutableMapping
+from contextlib import contextmanager
 from dataclasses import replace
 
 import numpy as np
@@ -17,9 +19,25 @@ from .retry import retried
 SIGNED_FOR = 45 * 60
 MOST_OPEN = 64
 
+#: What file systems are told unless the environment says otherwise, and the variable that forbids it.
+NETWORK_DEFAULTS = {"AWS_RETRY_MODE": "standard", "AWS_MAX_ATTEMPTS": "4", "AWS_EC2_METADATA_DISABLED": "true"}
+NO_DEFAULTS = "SKYLOOM_NO_NETWORK_DEFAULTS"
+
 Sign = Callable[[str], str]
 
 
+@contextmanager
+def network_defaults(environ: MutableMapping[str, str] = os.environ) -> Iterator[None]:
+    """The defaults for as long as a task reads; what was set before stays, and is as before afterwards."""
+    added = [] if environ.get(NO_DEFAULTS) else [k for k in NETWORK_DEFAULTS if k not in environ]
+    environ.update({k: NETWORK_DEFAULTS[k] for k in added})
+    try:
+        yield
+    finally:
+        for k in added:
+            environ.pop(k, None)
+
+
 def unsigned(href: str) -> str:
     return href
 

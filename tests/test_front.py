@@ -302,6 +302,16 @@ def test_addresses_are_signed_again(tmp_path):
     assert opened[-2:] == ["c?5", "closed"]
 
 
+def test_network_defaults_leave_no_trace():
+    environ = {"AWS_MAX_ATTEMPTS": "9"}
+    with assets.network_defaults(environ):
+        assert environ["AWS_MAX_ATTEMPTS"] == "9" and environ["AWS_RETRY_MODE"] == "standard"
+    assert environ == {"AWS_MAX_ATTEMPTS": "9"}
+    off = {assets.NO_DEFAULTS: "1"}
+    with assets.network_defaults(off):
+        assert off == {assets.NO_DEFAULTS: "1"}
+
+
 def test_public_names():
     assert skyloom.mosaic is front.mosaic and skyloom.SOURCE_AWS == "AWS" and issubclass(skyloom.SceneFetchError, RuntimeError)
     skyloom.set_log_level("info")
