@@ -41,7 +41,7 @@ _LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: of their own, so they may be set apart before the cache is asked.
 _TAIL = re.compile(rb"(?<=[A-Za-z0-9])([!-&(-/:;=-@\[-`{-~]+)(?=[ \t-\r]|\Z)")
 #: Pieces that a worker remembers (about 0.2 KB each).
-_CACHE_WORDS = 1_200_000
+_CACHE_WORDS = 400_000
 _BLOCK = 1 << 21
 
 

@@ -3,11 +3,12 @@
 Texts are joined into one byte buffer (a newline between neighbours), classified
 through a 256-entry table, and every token gets a 64-bit hash from prefix sums,
 so no Python object is made per token.  Memory is bounded by ``CHUNK_BYTES`` or
-one text, whichever is larger.
+one text, whichever is larger, and given back after each batch.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -69,6 +70,16 @@ class Chunk:
         return len(self.offsets) - 1
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back: workers live on between stages and would keep their largest size."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     column = arrow_strings(column)
     n = len(column)
@@ -85,6 +96,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         buf = b"\n".join([view[o[k] : o[k + 1]] for k in range(i, j)]) + b"\n"
         yield Chunk(i, np.frombuffer(buf, dtype=np.uint8), o[i : j + 1] - o[i] + np.arange(j - i + 1))
         i = j
+    release()
 
 
 def spans(data: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
