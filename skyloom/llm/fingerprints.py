@@ -32,6 +32,8 @@ WORDS = 5
 SCALE = 8
 #: Rows (id and hash) of a sorted range, about.
 RANGE_ROWS = 2_000_000
+#: Bytes of text that one task joins, on average.
+PART_BYTES = 64 << 20
 KEY = ["id_key", "no_id", "rank"]
 
 
@@ -74,21 +76,27 @@ def as_text(hashes: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the columns ``KEY``: the id as text, whether it is null, and a hash of the text."""
+    """text and the columns ``KEY``: the id as text, whether it is null, and a hash of the text."""
     rows = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))
-    return rows.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("rank"))
+    return rows.select("text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("rank"))
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
+def _id(kind: str) -> Column:
+    """The id of a key."""
+    return F.when(~F.col("no_id"), F.col("id_key").cast(kind))
+
+
+def neighbours(rows: DataFrame, kind: str) -> tuple[DataFrame, int]:
     """Of every key of ``keyed`` rows: its copies, and ``before``: the key before it by descending
-    id (before the first: the last one) with its characters.
+    id (before the first: the last one) with its characters; and the bytes of all texts.
 
     Sorted in ranges; the first key of a range takes the last one of the range before it.
     """
-    narrow = rows.groupBy("doc_id", *KEY).agg(F.count(F.lit(1)).alias("copies"), F.max(F.char_length("text")).alias("chars"))
+    narrow = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies"), F.max(F.char_length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"))
     narrow = stored(narrow, "neighbour-keys")
-    order = [F.col("doc_id").desc_nulls_last(), F.col("rank")]
-    width = max(partitions_for(rows.sparkSession), narrow.count() // RANGE_ROWS)
+    keys, size = narrow.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    order = [_id(kind).desc_nulls_last(), F.col("rank")]
+    width = max(partitions_for(rows.sparkSession), keys // RANGE_ROWS)
     ranged = narrow.repartitionByRange(width, *order).sortWithinPartitions(*order)
     placed = stored(ranged.select(*KEY, "copies", "chars", F.monotonically_increasing_id().alias("place")), "neighbour-places")
     placed = placed.withColumn("range", F.shiftright("place", 33)).withColumn("self", F.struct(*KEY, "chars"))
@@ -97,23 +105,27 @@ def neighbours(rows: DataFrame) -> DataFrame:
     final = F.last("last").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     lasts = lasts.select("range", F.coalesce(F.lag("last").over(Window.orderBy("range")), final).alias("outer"))
     inner = F.lag("self").over(Window.partitionBy("range").orderBy("place"))
-    return placed.withColumn("inner", inner).join(F.broadcast(lasts), "range").select(*KEY, "copies", F.coalesce("inner", "outer").alias("before"))
+    found = placed.withColumn("inner", inner).join(F.broadcast(lasts), "range").select(*KEY, "copies", F.coalesce("inner", "outer").alias("before"))
+    return stored(found, "neighbours"), size or 0
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, fingerprint, and of the next row by descending doc_id (of the first one after the last)
-    ``part``: its first floor(n_chars / 2) code points, n_chars being this text's, and ``following``: its fingerprint; ``times``: rows of this kind.
+    """doc_id, text, own fingerprint, and of the next row by descending doc_id (of the first one after the last)
+    ``part``: its first floor(n_chars / 2) code points, n_chars being this text's, and ``following``: its fingerprint.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
     rows = keyed(docs)
-    texts = rows.withColumn("own", sketch(F.col("text"))).groupBy(*KEY).agg(*[F.first(c).alias(c) for c in ("doc_id", "text", "own")])
-    known = stored(texts.join(neighbours(rows), KEY), "neighbour-texts")
+    near, size = neighbours(rows, kind)
+    # both sides of the join below need the same columns of the texts, so that they are moved once
+    dealt = rows.repartition(max(partitions_for(docs.sparkSession), size // PART_BYTES), *KEY)
+    known = dealt.join(near, KEY).withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy("copies")))
     needed = F.floor(F.col("before.chars") / 2).cast("int")
-    answers = known.select(*[F.col(f"before.{c}").alias(c) for c in KEY], F.substring("text", F.lit(1), needed).alias("part"), F.col("own").alias("following"))
+    answers = known.where("place = 1").select(*[F.col(f"before.{c}").alias(c) for c in KEY], F.substring("text", F.lit(1), needed).alias("part"), sketch(F.col("text")).alias("following"))
     half = F.floor(F.char_length("text") / 2).cast("int")
-    after = F.struct("part", "following", F.lit(1).cast("bigint").alias("times"))
-    same = F.struct(F.substring("text", F.lit(1), half).alias("part"), F.col("own").alias("following"), (F.col("copies") - 1).alias("times"))
-    kinds = F.explode(F.when(F.col("copies") == 1, F.array(after)).otherwise(F.array(after, same)))
-    return known.drop("before").join(answers, KEY).select("doc_id", "text", "own", kinds.alias("next")).select("doc_id", "text", "own", "next.*")
+    # of copies each is the next of the one before, and the last one has the next key
+    last = F.col("place") == F.col("copies")
+    both = known.join(answers, KEY).withColumn("own", sketch(F.col("text")))
+    return both.select(_id(kind).alias("doc_id"), "text", "own", F.when(last, F.col("part")).otherwise(F.substring("text", F.lit(1), half)).alias("part"), F.when(last, F.col("following")).otherwise(F.col("own")).alias("following"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -123,13 +135,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def compare_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text, of its edited text and of the next one, with likenesses."""
-    n = F.char_length("text").cast("long")
-    rows = with_next(docs).withColumn("n_chars", n)
+    rows = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int"))
-    rows = rows.select("doc_id", "n_chars", "own", "following", "times", F.concat(kept, "part").alias("edited"))
-    made = rows.select("doc_id", "n_chars", "times", F.sha2("edited", 256).alias("edited_sha256"), "own", sketch(F.col("edited")).alias("other"), "following")
-    done = made.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"), "times")
-    return done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).drop("copy", "times")
+    rows = rows.select("doc_id", "n_chars", "own", "following", F.concat(kept, "part").alias("edited"))
+    made = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", sketch(F.col("edited")).alias("other"), "following")
+    return made.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
