@@ -126,6 +126,79 @@ def test_a_tree_joined_with_itself_or_another_gives_all_pairs_within_the_bound(m
     assert crossing == {(i, j) for i, j in got if i < half <= j}
 
 
+def test_members_that_can_have_no_link_at_a_key_leave_it(spark):
+    def prefix(*hashes):
+        return np.array(hashes, dtype=np.uint64).tobytes()
+
+    low, high = -(1 << 63), (1 << 63) - 1
+    early, late, unequal = 5, 1 << 60, 6
+    own = [(k << 20) + 7 for k in range(1, 80)]
+    rows = [
+        # sets of 100: needed is 89, so a first shared key has at most 11 before it in either
+        (low, 100, low, prefix(early, *own[:20])),
+        (high, 100, -4, prefix(early, *own[20:40])),
+        (3, 100, 3, prefix(*own[40:60], late)),  # the twenty-first key of both: they share 80 shingles at most
+        (4, 100, 4, prefix(*own[60:79], own[0] + 1, late)),
+        (5, 100, 5, prefix(unequal)),
+        (6, 126, 6, prefix(unequal)),  # too large for 5
+    ]
+    frame = spark.createDataFrame(rows, "doc long, n long, comp long, keys binary").coalesce(1)
+    for buckets in (1, 7):
+        got = jaccard._rare_members(frame, buckets).collect()
+        assert sorted(r.doc for r in got) == [low, high] and len({r.key for r in got}) == 1
+
+
+def test_a_key_keeps_the_rows_that_some_other_row_suits():
+    rng = np.random.default_rng(11)
+    for largest in (3, 30, 300):
+        keys, ns = np.sort(rng.integers(0, 40, 150)), rng.integers(1, largest + 1, 150)
+        order = np.lexsort((ns, keys))
+        keys, ns = keys[order], ns[order]
+        at = np.array([rng.integers(0, jaccard.prefix_length(int(n))) for n in ns])
+        rest = ns - at
+        want = [any(i != j and keys[i] == keys[j] and jaccard.needed(int(ns[i]), int(ns[j])) <= min(rest[i], rest[j]) for j in range(150)) for i in range(150)]
+        assert jaccard._can_link(keys, ns, at).tolist() == want
+    assert not len(jaccard._can_link(keys[:0], ns[:0], at[:0]))
+    # the first shared key of linked sets keeps both, in any order of keys
+    for _ in range(200):
+        x = rng.choice(1000, int(rng.integers(1, 60)), replace=False)
+        y = np.concatenate((rng.permutation(x)[: len(x) - int(rng.integers(0, 1 + len(x) // 6))], 1000 + np.arange(int(rng.integers(0, 1 + len(x) // 6)))))
+        x, y = np.sort(x), np.sort(y)
+        both = np.intersect1d(x, y)
+        if 100 * len(both) >= 80 * len(np.union1d(x, y)):
+            two = sorted((len(s), int(np.searchsorted(s, both[0]))) for s in (x, y))
+            assert jaccard._can_link(np.zeros(2, np.int64), np.array([t[0] for t in two]), np.array([t[1] for t in two])).all()
+
+
+def test_keys_whose_pairs_have_all_been_offered_are_not_searched_again(spark, monkeypatch):
+    rng, searched = random.Random(9), []
+    rows = []
+    for k in range(30):  # pairs that share half of their shingles and so, mostly, some of their first ones
+        base = [f"v{k}_{i}" for i in range(60)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:44], *(f"o{k}_{i}" for i in range(16))]))]
+    real = jaccard.tree_search
+
+    def spy(members, hot):
+        searched.extend(r.doc for r in members.select("doc").distinct().collect())
+        return real(members, hot)
+
+    monkeypatch.setattr(jaccard, "tree_search", spy)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(table(spark, rows)).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows).items()}
+    assert not searched
+
+
+def test_a_tree_whose_offers_leave_out_pairs_is_known():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((np.delete(base, k), rng.integers(0, 1 << 63, 1, dtype=np.uint64)))) for k in range(40)]
+    ids, n = np.arange(40), np.array([len(x) for x in sets])
+    tree = jaccard.Tree(ids, n, ids, [jaccard._vector(x) for x in sets])
+    a, b = (np.concatenate(x) for x in zip(*jaccard.tree_pairs(tree, tree), strict=True))
+    assert len(a) == 40 * 39 // 2 and jaccard._all_offered(tree, b, a)
+    assert not jaccard._all_offered(tree, a[1:], b[1:]) and not jaccard._all_offered(tree, *tree.offers())
+
+
 def test_jaccard_edges(spark):
     assert jaccard.similar_components(table(spark, [])).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A B C D E F")]
