@@ -98,6 +98,30 @@ def test_trees_of_several_blocks_find_what_their_offers_miss(spark, monkeypatch)
         assert got == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def test_many_ids_are_neither_broadcast_nor_is_a_text_shuffled(spark, monkeypatch):
+    n, plans = 21_000, {}
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('one two three four five six ', id) as text")
+    docs = docs.union(spark.createDataFrame([(None, "one two three four five"), (n + 5, "")], "doc_id long, text string"))
+    pairs = spark.range(n - 1).where("id % 3 > 0").selectExpr("id as a", "id + 1 as b")
+
+    def noted(df, name, real=jaccard.stored):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard, "stored", noted)
+    got = jaccard.overlaps(docs, pairs).selectExpr("count(*)", "min(shared)", "max(shared)", "min(total)", "max(total)").first()
+    assert tuple(got) == (pairs.count(), 2, 2, 4, 4)
+    assert "Broadcast" not in plans["jaccard-sets"] and "Exchange" not in plans["jaccard-sets"]
+
+
+def test_a_table_of_ids_holds_them_all(spark):
+    ids = np.random.default_rng(5).integers(-(1 << 62), 1 << 62, 70_000)
+    held = jaccard.id_table(spark.createDataFrame([(int(i),) for i in ids[:50_000]], "id long"), 50_000)
+    bit = jaccard._bit(ids, 8 * len(held))
+    hit = np.unpackbits(held)[bit].astype(bool)
+    assert len(held) == 1 << 17 and hit[:50_000].all() and hit[50_000:].mean() < 0.1
+
+
 def test_a_tree_joined_with_itself_or_another_gives_all_pairs_within_the_bound(monkeypatch):
     monkeypatch.setattr(jaccard, "LEAF", 4)
     rng = np.random.default_rng(7)
