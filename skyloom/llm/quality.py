@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .runtime import crc_mod, table, text_or_empty
-from .textnp import LOWER, SOLID, chunks, owners, span_hashes, spans
+from .textnp import LOWER, SOLID, chunks, owners, release, span_hashes, spans
 from .toxicity import training_rows
 
 MAX_TRAIN_ROWS = 3000
@@ -148,7 +148,10 @@ def train(texts: pa.Array, quality: np.ndarray) -> QualityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, take, *, max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS) -> QualityModel:
     rows = training_rows(docs, labels, "quality", take, max_rows, max_chars)
-    return train(rows["t"].combine_chunks(), rows["y"].to_numpy())
+    model = train(rows["t"].combine_chunks(), rows["y"].to_numpy())
+    del rows
+    release()  # the driver works on
+    return model
 
 
 def score_texts(texts: pa.Array, model: QualityModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

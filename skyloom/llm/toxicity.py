@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .runtime import crc_mod, table, text_or_empty
-from .textnp import LOWER, WORDY, chunks, code_points, mix, owners, ranges, shingles, span_hashes, spans
+from .textnp import LOWER, WORDY, chunks, code_points, mix, owners, ranges, release, shingles, span_hashes, spans
 
 #: Bounds of the training sample: labelled rows, and characters of one text.
 MAX_TRAIN_ROWS = 2500
@@ -262,7 +262,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, take, max_rows
 def fit(docs: DataFrame, labels: DataFrame, take, *, max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS) -> ToxicityModel:
     """Train on labelled rows for which ``take(doc_id)`` holds (a bounded sample)."""
     rows = training_rows(docs, labels, "toxic", take, max_rows, max_chars)
-    return train(rows["t"].combine_chunks(), rows["y"].to_numpy())
+    model = train(rows["t"].combine_chunks(), rows["y"].to_numpy())
+    del rows
+    release()  # the driver works on
+    return model
 
 
 def score_texts(texts: pa.Array, model: ToxicityModel, spans_too: bool = False) -> tuple[np.ndarray, list | None]:

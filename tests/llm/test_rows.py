@@ -511,3 +511,13 @@ def test_pipeline_follows_its_stages(spark):
     got = p.run(spark, DATA)
     assert {r.doc_id for r in got.collect()} == ids - bad
     assert 4 <= len(p.STAGES) <= 5 and got.columns[:3] == ["doc_id", "start", "length"]
+
+
+@pytest.mark.parametrize("model", [toxicity, quality])
+def test_training_gives_the_drivers_memory_back(monkeypatch, model):
+    done = []
+    monkeypatch.setattr(model, "training_rows", lambda *a: pa.table({"t": ["a"], "y": [1]}))
+    monkeypatch.setattr(model, "train", lambda *a: done.append("train"))
+    monkeypatch.setattr(model, "release", lambda: done.append("release"))
+    model.fit(None, None, None)
+    assert done == ["train", "release"]
