@@ -1,14 +1,16 @@
 """Packed tiles: one row for each (scene, tile) with its pixels as binary blocks.
 
 For rasters of full size a row for each pixel is too much; here a block is
-``bands`` (band, row, column of uint16) and ``mask`` (bits of row, column), and a
+``mask`` (bits of row, column) and ``bands`` (of each pixel that the mask has, in
+order, the bands as uint16), and a
 reducer sees the blocks of one tile in rank order.  Results equal those of the
-pixel reducers.  Memory of a task is one tile's stack.
+pixel reducers.  Memory of a task is one tile's stack, as deep as the pixel with
+most observations where most scenes show little of the tile.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,37 +19,102 @@ from pyspark.sql import functions as F
 
 BLOCK_SCHEMA = "scene bigint, rank bigint, r bigint, c bigint, h bigint, w bigint, bands binary, mask binary"
 TILE_SCHEMA = "r bigint, c bigint, h bigint, w bigint, bands binary, n binary"
+#: Mask bits that are set out at once, and pixels of a batch, about.
+MASK_PIXELS, BATCH_PIXELS = 1 << 24, 100_000
+#: A stack is moved together if so many times the pixels seen are not more than those it has room for.
+SPARSE = 4
 
 
 def pack(bands: np.ndarray, mask: np.ndarray) -> tuple[bytes, bytes]:
-    return bands.astype("<u2").tobytes(), np.packbits(mask.astype(bool)).tobytes()
+    mask = mask.astype(bool)
+    return bands[:, mask].T.astype("<u2").tobytes(), np.packbits(mask).tobytes()
 
 
 def unpack(bands: bytes, mask: bytes, k: int, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(bands, "<u2").reshape(k, h, w), np.unpackbits(np.frombuffer(mask, np.uint8), count=h * w).reshape(h, w).view(bool)
+    """Bands (zero where the mask has no pixel) and mask of a block."""
+    seen = np.unpackbits(np.frombuffer(mask, np.uint8), count=h * w).reshape(h, w).view(bool)
+    out = np.zeros((k, h, w), np.uint16)
+    out[:, seen] = np.frombuffer(bands, "<u2").reshape(-1, k).T
+    return out, seen
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of these sizes that stand in ``data`` one after the other."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data).view(np.uint8).ravel())])
+
+
+def _bytes(column: pa.ChunkedArray) -> np.ndarray:
+    """All bytes of a binary column, one value after the other."""
+    parts = []
+    for c in column.chunks:
+        offsets, data = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1], c.buffers()[2]
+        parts.append(np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8))
+    return np.concatenate(parts)
 
 
 def from_pixels(obs: DataFrame, bands: Sequence[str], size: int, height: int, width: int) -> DataFrame:
     """Blocks of an observation table (scene, rank, row, col, bands)."""
     tiled = obs.select(F.col("scene").cast("bigint").alias("scene"), F.col("rank").cast("bigint").alias("rank"), (F.col("row") - F.col("row") % size).alias("r"), (F.col("col") - F.col("col") % size).alias("c"), "row", "col", *bands)
+    key = ["scene", "r", "c"]
+
+    def packed(rows: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        """The blocks that begin at these rows."""
+        scene, rank, r, c = (rows[x].to_numpy()[first] for x in ("scene", "rank", "r", "c"))
+        h, w = np.minimum(size, height - r), np.minimum(size, width - c)
+        block = np.repeat(np.arange(len(first)), np.diff(np.append(first, rows.num_rows)))
+        y, x = rows["row"].to_numpy() - r[block], rows["col"].to_numpy() - c[block]
+        if (y >= h[block]).any() or (x >= w[block]).any():
+            raise IndexError("a pixel is outside the raster")
+        at = y * w[block] + x
+        order = np.lexsort((at, block))
+        at, block = at[order], block[order]
+        last = np.append((at[1:] != at[:-1]) | (block[1:] != block[:-1]), True)  # of a pixel that is there twice, one row
+        order, at, block = order[last], at[last], block[last]
+        values = np.column_stack([rows[b].to_numpy()[order].astype(np.uint16) for b in bands]) if bands else np.zeros((len(order), 0), np.uint16)
+        ends = np.cumsum(np.bincount(block, minlength=len(first)))
+        masks, of = [], []
+        for shape in np.unique(np.column_stack((h, w)), axis=0):  # at most four
+            here, area = np.flatnonzero((h == shape[0]) & (w == shape[1])), int(shape[0] * shape[1])
+            step = max(1, MASK_PIXELS // area)
+            for some in (here[i : i + step] for i in range(0, len(here), step)):
+                count = np.diff(np.concatenate(([0], ends)))[some]
+                own = np.repeat(ends[some] - np.cumsum(count), count) + np.arange(count.sum())
+                bits = np.zeros((len(some), area), bool)
+                bits[np.repeat(np.arange(len(some)), count), at[own]] = True
+                masks.append(_binary(np.packbits(bits, axis=1), np.full(len(some), -(-area // 8))))
+                of.append(some)
+        mask = pa.concat_arrays(masks).take(pa.array(np.argsort(np.concatenate(of))))
+        pixels = _binary(values.astype("<u2"), np.diff(ends, prepend=0) * 2 * len(bands))
+        return pa.RecordBatch.from_arrays([*map(pa.array, (scene, rank, r, c, h, w)), pixels, mask], ["scene", "rank", "r", "c", "h", "w", "bands", "mask"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried: pa.Table | None = None  # the last block of a batch may go on in the next one
+        for b in batches:
+            rows = pa.Table.from_batches([b])
+            rows = rows if carried is None else pa.concat_tables([carried, rows])
+            if not rows.num_rows:
+                continue
+            first = _starts([rows[x].to_numpy() for x in key])
+            if len(first) > 1:
+                yield packed(rows.slice(0, first[-1]), first[:-1])
+            carried = rows.slice(first[-1])
+        if carried is not None:
+            yield packed(carried, np.zeros(1, np.int64))
 
-    def run(group: pa.Table) -> pa.Table:
-        r, c = group["r"][0].as_py(), group["c"][0].as_py()
-        h, w = min(size, height - r), min(size, width - c)
-        y, x = group["row"].to_numpy() - r, group["col"].to_numpy() - c
-        values, mask = np.zeros((len(bands), h, w), np.uint16), np.zeros((h, w), bool)
-        for i, b in enumerate(bands):
-            values[i, y, x] = group[b].to_numpy()
-        mask[y, x] = True
-        packed = pack(values, mask)
-        return pa.table({"scene": group["scene"][:1], "rank": group["rank"][:1], "r": [r], "c": [c], "h": [h], "w": [w], "bands": pa.array([packed[0]], pa.binary()), "mask": pa.array([packed[1]], pa.binary())})
+    return tiled.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, BLOCK_SCHEMA)
 
-    return tiled.groupBy("scene", "r", "c").applyInArrow(run, BLOCK_SCHEMA)
 
+def _starts(columns: list[np.ndarray]) -> np.ndarray:
+    """First rows of the runs of equal values."""
+    change = np.ones(len(columns[0]), bool)
+    change[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(change)
 
-def _valid(stack: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Masked pixels, less those that are zero in all of several bands."""
-    return masks & (stack != 0).any(axis=1) if stack.shape[1] > 1 else masks
+
+def _valid(stack: np.ndarray, masks: np.ndarray, zero_is_missing: bool = True) -> np.ndarray:
+    """Masked pixels, less those that are zero in all of several bands if the all-zero rule holds."""
+    return masks & (stack != 0).any(axis=1) if zero_is_missing and stack.shape[1] > 1 else masks
 
 
 def _cap(valid: np.ndarray, limit: int | None) -> np.ndarray:
@@ -110,7 +177,33 @@ def stop_early(valid: np.ndarray, covered: np.ndarray, least: int) -> np.ndarray
     return valid
 
 
-def mosaic(blocks: DataFrame, bands: int, method: str, *, percentile: float | None = None, max_observations: int | None = None, min_observations: int | None = None, cover: DataFrame | None = None) -> DataFrame:
+def _together(group: pa.Table, masks: np.ndarray, k: int, covered: np.ndarray, least: int | None, zero_is_missing: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The stack of a tile without what is not valid: each pixel's valid observations in rank order from the bottom
+    on, and which places are filled.  ``least``: the early stop, if there is one."""
+    h, w = covered.shape
+    scene, pixel = np.nonzero(masks)
+    values = _bytes(group["bands"]).view("<u2").reshape(-1, k)
+    keep = covered.ravel()[pixel]
+    if zero_is_missing and k > 1:
+        keep &= (values != 0).any(axis=1)
+    scene, pixel, values = scene[keep], pixel[keep], values[keep]
+    order = np.argsort(pixel.astype(np.uint16) if h * w <= 1 << 16 else pixel, kind="stable")
+    scene, pixel, values = scene[order], pixel[order], values[order]
+    n = np.bincount(pixel, minlength=h * w)
+    begin = np.cumsum(n) - n
+    depth = np.arange(len(pixel)) - np.repeat(begin, n)
+    if least is not None and covered.any() and (n[covered.ravel()] >= least).all():
+        cut = scene[begin[covered.ravel()] + least - 1].max() if least > 0 else 0
+        keep = scene <= cut
+        pixel, values, depth = pixel[keep], values[keep], depth[keep]
+        n = np.bincount(pixel, minlength=h * w)
+    deep = max(1, int(n.max()))
+    stack = np.zeros((deep, k, h * w), np.uint16)
+    stack[depth, :, pixel] = values
+    return stack.reshape(deep, k, h, w), (np.arange(deep)[:, None] < n).reshape(deep, h, w)
+
+
+def mosaic(blocks: DataFrame, bands: int, method: str, *, percentile: float | None = None, max_observations: int | None = None, min_observations: int | None = None, cover: DataFrame | None = None, zero_is_missing: bool = True) -> DataFrame:
     """One packed tile (bands, and counts n as uint16) for every tile of the blocks.
 
     ``cover`` (r, c, cover: bits of the pixels that count; none: all) restricts pixels.  Scenes after
@@ -123,12 +216,15 @@ def mosaic(blocks: DataFrame, bands: int, method: str, *, percentile: float | No
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("rank")
         r, c, h, w = (group[x][0].as_py() for x in ("r", "c", "h", "w"))
-        parts = [unpack(b, m, bands, h, w) for b, m in zip(group["bands"].to_pylist(), group["mask"].to_pylist(), strict=True)]
-        stack, masks = np.stack([p[0] for p in parts]), np.stack([p[1] for p in parts])
         covered = np.ones((h, w), bool) if whole else np.unpackbits(np.frombuffer(group["cover"][0].as_py() or b"", np.uint8), count=h * w).reshape(h, w).view(bool)
-        valid = _valid(stack, masks) & covered
-        if min_observations is not None and max_observations is None and method != "first":
-            valid = stop_early(valid, covered, min_observations)
+        masks = np.unpackbits(_bytes(group["mask"]).reshape(group.num_rows, -1), axis=1, count=h * w).view(bool)
+        least = min_observations if max_observations is None and method != "first" else None
+        if SPARSE * np.count_nonzero(masks) <= masks.size:
+            stack, valid = _together(group, masks, bands, covered, least, zero_is_missing)
+        else:
+            stack = np.stack([unpack(b, m, bands, h, w)[0] for b, m in zip(group["bands"].to_pylist(), group["mask"].to_pylist(), strict=True)])
+            valid = _valid(stack, masks.reshape(-1, h, w), zero_is_missing) & covered
+            valid = valid if least is None else stop_early(valid, covered, least)
         if method != "first":
             valid = _cap(valid, max_observations)
         if method == "mean":
@@ -151,12 +247,19 @@ def to_pixels(tiles: DataFrame, bands: Sequence[str]) -> DataFrame:
     """row, col, bands, n of the observed pixels of packed tiles."""
     names = ["row", "col", *bands, "n"]
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            parts, size = [], 0
             for r, c, h, w, data, n in zip(*(b.column(x).to_pylist() for x in ("r", "c", "h", "w", "bands", "n")), strict=True):
                 values, count = np.frombuffer(data, "<u2").reshape(len(bands), h, w), np.frombuffer(n, "<u2").reshape(h, w)
                 y, x = np.nonzero(count)
-                yield pa.RecordBatch.from_arrays([pa.array(y + r), pa.array(x + c), *[pa.array(v[y, x].astype(np.int64)) for v in values], pa.array(count[y, x].astype(np.int64))], names)
+                parts.append(np.vstack((y + r, x + c, values[:, y, x].astype(np.int64), count[y, x].astype(np.int64)[None])))
+                size += len(y)
+                if size >= BATCH_PIXELS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.hstack(parts)], names)
+                    parts, size = [], 0
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.hstack(parts)], names)
 
     return tiles.mapInArrow(run, ", ".join(f"{x} bigint" for x in names))
 

@@ -92,9 +92,9 @@ def medoid(obs: DataFrame, pixel: Sequence[str], bands: Sequence[str], rank: str
     return best.select(*pixel, *[F.col(f"_o.{b}").alias(b) for b in bands], "n")
 
 
-def mosaic(obs: DataFrame, pixel: Sequence[str], bands: Sequence[str], method: str, *, percentile_q: float | None = None, rank: str = "rank", max_observations: int | None = None) -> DataFrame:
-    """Any method by name, after the all-zero rule and the cap."""
-    obs = source_valid(obs, bands)
+def mosaic(obs: DataFrame, pixel: Sequence[str], bands: Sequence[str], method: str, *, percentile_q: float | None = None, rank: str = "rank", max_observations: int | None = None, zero_is_missing: bool = True) -> DataFrame:
+    """Any method by name, after the all-zero rule (if it holds) and the cap."""
+    obs = source_valid(obs, bands) if zero_is_missing else obs
     if max_observations is not None and method != "first":
         obs = cap_observations(obs, pixel, max_observations, rank)
     if method == "mean":

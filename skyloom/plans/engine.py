@@ -161,7 +161,7 @@ def export(done: DataFrame, request: MosaicRequest, grid: geotiff.Grid, dropped:
 
     def pieces() -> Iterator[tuple[int, int, np.ndarray]]:
         for t in packed.toLocalIterator():
-            yield t.r, t.c, np.frombuffer(t.bands, "<u2").reshape(len(columns), t.h, t.w)
+            yield t.r, t.c, blocks.unpack(t.bands, t.mask, len(columns), t.h, t.w)[0]
 
     geotiff.write(path, pieces(), grid, len(columns), names=names.band_labels(list(request.bands), request.include_observation_count), tile=tile)
     write_sidecar(path, request.metadata() | {"dropped_scenes": dropped or []})

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from skyloom.operators import blocks, reduce, tiles
+from skyloom.plans import catalogue
 
 
 def stack_rows(values, masks):
@@ -40,6 +44,25 @@ def test_mean_is_floor_and_zero_spectrum_is_missing(spark):
     assert got[0, 0] == (31, 31, 31) and got[0, 1] == (20, 20, 20)
 
 
+#: scene, price, discount, tax of three lines; the second has zeros in all bands
+ZEROS = [(1, 1000.0, 0.05, 0.05), (2, 10000.0, 0.0, 0.0), (3, 3000.0, 0.07, 0.02)]
+
+
+@pytest.mark.parametrize("name", sorted(n for n in catalogue.SQL if re.match("mosaic_|blocks_|aoi_|output_", n)))
+def test_an_observation_of_zeros_counts_as_in_the_sql(spark, tmp_path, name):
+    """One pixel, three scenes; the second shows zeros in all bands."""
+    rows = [(12 * k + 3, 55, k, 1, 1.0, *bands) for k, *bands in ZEROS]  # orders whose line 1 has class 4
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, k) for k in range(1, 4)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k, 30) for k in (55, 260)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    db = duckdb.connect()
+    for t in ("lineitem", "supplier", "part"):
+        db.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    theirs = db.execute(catalogue.SQL[name])
+    header = [x[0] for x in theirs.description]
+    assert sorted(map(tuple, catalogue.QUERIES[name](spark, str(tmp_path)).select(header).collect())) == sorted(theirs.fetchall())
+
+
 def test_single_band_zero_is_data(spark):
     obs, bands = frame(spark, *constant([0, 20]))
     assert set(collected(reduce.mosaic(obs, ["row", "col"], bands, "mean"), bands).values()) == {(10,)}
@@ -107,6 +130,24 @@ def test_blocks_equal_pixels(spark, method):
     assert got == want
 
 
+@pytest.mark.parametrize("method", ["mean", "first", "median", "medoid"])
+@pytest.mark.parametrize("options", [{}, {"max_observations": 2}, {"min_observations": 2}])
+def test_sparse_blocks_equal_whole_stacks(spark, monkeypatch, method, options):
+    """Many scenes that show little of a tile: packed small, and the same answers from stacks that are moved together."""
+    rng = np.random.default_rng(4)
+    values, masks = rng.integers(0, 4, (60, 3, 9, 11)), rng.random((60, 9, 11)) < 0.08
+    obs, bands = frame(spark, values, masks)
+    packed = blocks.from_pixels(obs, bands, 4, 9, 11)
+    assert packed.selectExpr("sum(length(bands))").first()[0] == 6 * masks.sum()
+    cover = blocks.from_pixels(obs.selectExpr("0 as scene", "0 as rank", "row", "col").where("row + col > 3").distinct(), [], 4, 9, 11).selectExpr("r", "c", "mask as cover")
+    for more in ({}, {"cover": cover}):
+        got = []
+        for sparse in (1, 10**9):  # always, never
+            monkeypatch.setattr(blocks, "SPARSE", sparse)
+            got.append(sorted(map(tuple, blocks.to_pixels(blocks.mosaic(packed, 3, method, **options, **more), bands).collect())))
+        assert got[0] == got[1] and got[0]
+
+
 def test_empty_table(spark):
     obs = spark.createDataFrame([], "rank long, row long, col long, b0 long")
     for method in ("mean", "first", "median", "medoid"):
