@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import functools
 import json
+import math
+import random
 
 import numpy as np
 import pytest
@@ -200,6 +202,44 @@ def test_constant_images_resample_to_themselves(spark):
     assert near.count() == 256
 
 
+@pytest.mark.parametrize("method", ["bilinear", "cubic", "lanczos"])
+@pytest.mark.parametrize("scale", [0.5, 2, 2.7, 0.3])
+def test_convolution_by_brute_force(spark, monkeypatch, method, scale):
+    """Two scenes with holes, a tap that is there twice and one without a value, over many squares; no table of taps is joined."""
+    monkeypatch.setattr(resample, "SIDE", 8)
+    rng = random.Random(6)
+    source = [(s, y, x, rng.randrange(10_000)) for s in "ab" for y in range(12) for x in range(17) if rng.random() < 0.6]
+    source += [(*source[5][:3], 17), (*source[9][:3], None), ("c", 0, 0, 1), (None, 3, 3, 5)]
+    size = int(12 / scale), int(17 / scale)
+    grid = [(s, y, x) for s in "abd" for y in range(size[0]) for x in range(size[1])]
+    grid += [grid[4], (None, 1, 1)]
+    wide, reach = max(1, scale), {"bilinear": 1, "cubic": 2, "lanczos": 3}[method]
+
+    def kernel(t):
+        a = abs(t) / wide
+        if a >= reach:
+            return 0.0
+        if method == "bilinear":
+            return 1 - a
+        if method == "cubic":
+            return 1.5 * a**3 - 2.5 * a * a + 1 if a <= 1 else -0.5 * a**3 + 2.5 * a * a - 4 * a + 2
+        return 1.0 if a < 1e-12 else 3 * math.sin(math.pi * a) * math.sin(math.pi * a / 3) / (math.pi * a) ** 2
+
+    want = {}
+    for s, y, x in {g for g in grid if g[0]}:
+        w = [(kernel((y + 0.5) * scale - 0.5 - b) * kernel((x + 0.5) * scale - 0.5 - c), v) for k, b, c, v in source if k == s]
+        w = [(i, v) for i, v in w if i != 0]
+        if w:
+            want[s, y, x] = sum(i * v for i, v in w if v is not None) / sum(i for i, _ in w) if any(v is not None for _, v in w) else None
+    done = resample.convolve(spark.createDataFrame(grid, "s string, row int, col long"), spark.createDataFrame(source, "s string, row long, col long, b long"), ["s"], scale, method, ["b"])
+    assert "Join" not in done._jdf.queryExecution().executedPlan().toString()
+    assert done.dtypes == [("s", "string"), ("row", "int"), ("col", "bigint"), ("b", "double")]
+    rows = done.collect()
+    got = {(r.s, r.row, r.col): r.b for r in rows}
+    assert len(rows) == len(got) and set(got) == set(want)
+    assert all((got[k] is None) == (want[k] is None) and (want[k] is None or abs(got[k] - want[k]) < 1e-5 * max(1, abs(want[k]))) for k in want)
+
+
 def test_geotiff_round_trip_and_source(spark, tmp_path):
     rng = np.random.default_rng(1)
     image = rng.integers(0, 65536, (3, 70, 50)).astype(np.uint16)
